@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_groups
+from .sharding import shard_documents
 
 OP8_SQL = r"""
 WITH t AS (
@@ -24,8 +25,16 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_sharding(spark, sf_dir):
+    """Shards 0 to 15 for all of `documents`, equal texts together, counts at most one apart."""
+    return shard_documents(table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op8_exact_dedup": op8_exact_dedup}
+    return {
+        "op7_sharding": op7_sharding,
+        "op8_exact_dedup": op8_exact_dedup,
+    }
 
 
 def oracle_sql():
