@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_groups
+from .packing import pack
 from .sharding import shard_documents
 
 OP8_SQL = r"""
@@ -25,6 +26,17 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark, sf_dir):
+    """All of `documents` packed into windows of 2048 tokens that each hold the corpus mixture."""
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_sharding(spark, sf_dir):
     """Shards 0 to 15 for all of `documents`, equal texts together, counts at most one apart."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -32,6 +44,7 @@ def op7_sharding(spark, sf_dir):
 
 def queries():
     return {
+        "op1_packing": op1_packing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
     }
