@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_groups
+from .mixing import mix
 from .packing import pack
 from .sharding import shard_documents
 
@@ -37,6 +38,11 @@ def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_mixing(spark, sf_dir):
+    """All of `documents` mixed by weights 5, 2, 1 over the sources in code-point order."""
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op7_sharding(spark, sf_dir):
     """Shards 0 to 15 for all of `documents`, equal texts together, counts at most one apart."""
     return shard_documents(table(spark, sf_dir, "documents"))
@@ -45,6 +51,7 @@ def op7_sharding(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
     }
