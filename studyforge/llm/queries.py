@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_groups
+from .language_id import language_of
 from .mixing import mix
 from .packing import pack
 from .sharding import shard_documents
@@ -48,12 +49,18 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark, sf_dir):
+    """Language of all of `documents`, learned from those outside the held-out fold."""
+    return language_of(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_packing": op1_packing,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
