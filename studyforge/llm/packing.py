@@ -29,55 +29,82 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, slices
 
 PARTS = 65_536
-WORDS_KEPT = 400_000
+#: Distinct pieces that a worker process remembers.
+WORDS_KEPT = 800_000
+
+
+#: One encoder for each tokenizer and worker process, so that tasks share its words.
+_ENCODERS: dict = {}
 
 
 def _encoder(path: str, end_id: int):
-    """Function from texts to uint16/uint32 id bytes, the same ids as encoding whole texts.
+    """Function from texts to id bytes (two or four each), the same ids as encoding whole texts.
 
     A single space between two non-space characters always starts a new pre-token together
-    with what follows it, so the pieces of a text cut there encode alike in any text. Texts
-    with other white-space runs beside a space are encoded whole.
+    with what follows it, so the pieces of a text cut there encode alike in any text; and so
+    do a letter and the commas and stops after it, at the end of a piece. Texts with other
+    white-space runs beside a space, or with a special token's text, are encoded whole.
     """
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = _make_encoder(path, end_id)
+    return _ENCODERS[path, end_id]
+
+
+def _make_encoder(path: str, end_id: int):
     import os
     import re
+    from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
-    kind = np.dtype("<u2") if tok.get_vocab_size() <= 65_536 and end_id < 65_536 else np.dtype("<u4")
-    end = np.array([end_id], kind).tobytes()
-    odd = re.compile(r"\s\s| [\x1c-\x1f\x85]|[\x1c-\x1f\x85] ")
+    kind = "H" if _ids_are_short(path, end_id) else "I"
+    end = array(kind, [end_id]).tobytes()
+    odd = re.compile(r" \s|\s ")
     cache: dict[str, bytes] = {}
 
     def encode(parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, kind).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+        return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def learn(words: set[str]) -> None:
+        """Put words into the cache; a word's final commas and stops are encoded apart."""
+        whole, split = [], []
+        for w in words:
+            stem = w.rstrip(".,")
+            if len(stem) < len(w) and stem[-1:].isalpha():
+                split.append((w, stem, w[len(stem) :]))
+            else:
+                whole.append(w)
+        whole += {x for _, stem, _ in split for x in (stem,) if x not in cache and x not in words}
+        cache.update(zip(whole, encode([w[1:] if w[0] == " " else " " + w for w in whole]), strict=True))
+        tails = {t for _, _, t in split}
+        tails = dict(zip(tails, encode(list(tails)), strict=True))
+        for w, stem, tail in split:
+            cache[w] = cache[stem] + tails[tail]
 
     def run(texts: list[str]) -> list[bytes]:
         if len(cache) > WORDS_KEPT:
             cache.clear()
-        plain, cuts, missing = [], [], set()
+        cuts, missing = [], set()
         for text in texts:
-            easy = bool(text) and odd.search(text) is None and text[0] != " " and text[-1] != " " and not any(s in text for s in specials)
-            plain.append(easy)
-            if easy:
-                first, *rest = text.split(" ")
+            if text and text[0] != " " and text[-1] != " " and odd.search(text) is None and not any(s in text for s in specials):
+                pieces = text.split(" ")
                 # the first piece has no space before it: its key starts with one, which no other piece does
-                pieces = [" " + first, *rest]
+                pieces[0] = " " + pieces[0]
                 cuts.append(pieces)
-                missing.update(w for w in pieces if w not in cache)
+                missing.update(pieces)
             else:
                 cuts.append(None)
+        missing.difference_update(cache)
         if missing:
-            words = list(missing)
-            cache.update(zip(words, encode([w[1:] if w[0] == " " else " " + w for w in words]), strict=True))
-        whole = [t for t, easy in zip(texts, plain, strict=True) if not easy]
+            learn(missing)
+        whole = [t for t, p in zip(texts, cuts, strict=True) if p is None]
         coded = iter(encode(whole)) if whole else iter(())
-        return [(b"".join(map(cache.__getitem__, p)) if easy else next(coded)) + end for p, easy in zip(cuts, plain, strict=True)]
+        return [(next(coded) if p is None else b"".join([cache[w] for w in p])) + end for p in cuts]
 
-    return run, kind
+    return run
 
 
 TOKENS = "doc_id long, source string, part long, at long, n long, ids binary"
@@ -88,7 +115,7 @@ def _tokenise(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), {}
-        encode, _ = _encoder(path, end_id)
+        encode = _encoder(path, end_id)
         width = 2 if _ids_are_short(path, end_id) else 4
         for whole in batches:
             for b in slices(whole, "text", 2_000_000):
