@@ -7,6 +7,7 @@ from .exact_dedup import exact_groups
 from .language_id import language_of
 from .mixing import mix
 from .packing import pack
+from .secrets import secret_report
 from .sharding import shard_documents
 
 OP8_SQL = r"""
@@ -39,6 +40,11 @@ def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_secrets(spark, sf_dir):
+    """Secrets in every text of `documents`."""
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark, sf_dir):
     """All of `documents` mixed by weights 5, 2, 1 over the sources in code-point order."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -57,6 +63,7 @@ def op10_language_id(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op5_secrets": op5_secrets,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
