@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .exact_dedup import exact_groups
+from .fingerprints import compare_with_next
 from .language_id import language_of
 from .mixing import mix
 from .packing import pack
@@ -55,6 +56,11 @@ def op7_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark, sf_dir):
+    """Merkle fingerprints of all of `documents`, against their edited texts and the next documents."""
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark, sf_dir):
     """Language of all of `documents`, learned from those outside the held-out fold."""
     return language_of(table(spark, sf_dir, "documents"))
@@ -67,6 +73,7 @@ def queries():
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
         "op8_exact_dedup": op8_exact_dedup,
+        "op9_fingerprints": op9_fingerprints,
         "op10_language_id": op10_language_id,
     }
 
