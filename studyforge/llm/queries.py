@@ -8,6 +8,7 @@ from .fingerprints import compare_with_next
 from .language_id import language_of
 from .mixing import mix
 from .packing import pack
+from .quality import quality_scores
 from .secrets import secret_report
 from .sharding import shard_documents
 
@@ -41,6 +42,11 @@ def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_quality(spark, sf_dir):
+    """Quality score of every text of `documents`, learned from `labels` outside the held-out fold."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_secrets(spark, sf_dir):
     """Secrets in every text of `documents`."""
     return secret_report(table(spark, sf_dir, "documents"))
@@ -69,6 +75,7 @@ def op10_language_id(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op4_quality": op4_quality,
         "op5_secrets": op5_secrets,
         "op6_mixing": op6_mixing,
         "op7_sharding": op7_sharding,
