@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_next
+from .jaccard_join import similarity_classes
 from .language_id import language_of
 from .mixing import mix
 from .packing import pack
@@ -42,6 +43,11 @@ def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op3_jaccard_join(spark, sf_dir):
+    """Similarity classes of all of `documents` by 5-word shingles, Jaccard 0.75 or more."""
+    return similarity_classes(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     """Quality score of every text of `documents`, learned from `labels` outside the held-out fold."""
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -75,6 +81,7 @@ def op10_language_id(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_quality": op4_quality,
         "op5_secrets": op5_secrets,
         "op6_mixing": op6_mixing,
