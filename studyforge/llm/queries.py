@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_next
+from .html_text import main_text
 from .jaccard_join import similarity_classes
 from .language_id import language_of
 from .mixing import mix
@@ -43,6 +44,11 @@ def op1_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op2_html_text(spark, sf_dir):
+    """Main text of all of `pages` by their hosts' winning paths."""
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_jaccard_join(spark, sf_dir):
     """Similarity classes of all of `documents` by 5-word shingles, Jaccard 0.75 or more."""
     return similarity_classes(table(spark, sf_dir, "documents"))
@@ -81,6 +87,7 @@ def op10_language_id(spark, sf_dir):
 def queries():
     return {
         "op1_packing": op1_packing,
+        "op2_html_text": op2_html_text,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_quality": op4_quality,
         "op5_secrets": op5_secrets,
