@@ -23,6 +23,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -97,7 +98,7 @@ def _make_encoder(path: str, end_id: int):
                 missing.update(pieces)
             else:
                 cuts.append(None)
-        missing.difference_update(cache)
+        missing = {w for w in missing if w not in cache}
         if missing:
             learn(missing)
         whole = [t for t, p in zip(texts, cuts, strict=True) if p is None]
@@ -156,39 +157,53 @@ class Rounds:
             r = r + low
         return r
 
-    def runs(self, s: int, at: int, n: int) -> list[tuple[int, int, int]]:
-        """(offset in the document, position in the stream, length) of tokens at .. at+n-1 of queue s."""
-        if n == 0:
-            return []
-        first, last = self.round_of(s, np.array([at, at + n - 1]))
-        out: list[list[int]] = []
-        for lo in range(int(first), int(last) + 1, 4096):
-            r = np.arange(lo, min(lo + 4096, int(last) + 1) + 1)
-            f = self.served(r)
-            now, nxt = f[:-1], f[1:]
-            start = now.sum(1) + (nxt[:, :s] - now[:, :s]).sum(1)
-            a, b = np.maximum(now[:, s], at), np.minimum(nxt[:, s], at + n)
-            for x, y, p in zip(a.tolist(), b.tolist(), (start + a - now[:, s]).tolist(), strict=True):
-                if y <= x:
-                    continue
-                if out and out[-1][1] + out[-1][2] == p:
-                    out[-1][2] += y - x
-                else:
-                    out.append([x - at, p, y - x])
-        return [tuple(x) for x in out]
-
-
-def sequence_of(pos: int, total: int, window: int) -> tuple[int, int, int]:
-    """(sequence, offset in it, tokens left in it) of a stream position; the tail goes to powers of two."""
+    def runs(self, s: int, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(document, offset in it, position in the stream, length) of tokens at .. at+n-1 of queue s, for many documents."""
+        first, last = self.round_of(s, at), self.round_of(s, at + n - 1)
+        many = last - first + 1
+        doc = np.repeat(np.arange(len(at)), many)
+        r = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many) + first[doc]
+        used, back = np.unique(r, return_inverse=True)
+        start, low, high = (np.empty(len(used), np.int64) for _ in range(3))
+        for k in range(0, len(used), 4096):
+            now, nxt = self.served(used[k : k + 4096]), self.served(used[k : k + 4096] + 1)
+            start[k : k + 4096] = now.sum(1) + (nxt[:, :s] - now[:, :s]).sum(1)
+            low[k : k + 4096], high[k : k + 4096] = now[:, s], nxt[:, s]
+        x, y = np.maximum(low[back], at[doc]), np.minimum(high[back], (at + n)[doc])
+        pos = start[back] + x - low[back]
+        some = y > x
+        doc, x, y, pos = doc[some], x[some], y[some], pos[some]
+        # rounds that follow each other in the stream make one run
+        new = np.ones(len(doc), bool)
+        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != (pos + y - x)[:-1])
+        ends = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+        return doc[new], (x - at[doc])[new], pos[new], y[ends] - x[new]
+
+
+def window_pieces(pos: np.ndarray, length: np.ndarray, total: int, window: int) -> tuple[np.ndarray, ...]:
+    """(run, skipped tokens of the run, sequence, offset in it, length), cut where sequences end.
+
+    The last total mod window tokens go to sequences of descending powers of two.
+    """
     full = total // window
-    if pos < full * window:
-        return pos // window, pos % window, window - pos % window
-    rest, seq, start = total - full * window, full, full * window
-    while True:
-        size = 1 << (rest.bit_length() - 1)
-        if pos < start + size:
-            return seq, pos - start, start + size - pos
-        start, rest, seq = start + size, rest - size, seq + 1
+    tail = [full * window]
+    while tail[-1] < total:
+        tail.append(tail[-1] + (1 << ((total - tail[-1]).bit_length() - 1)))
+    tail = np.array(tail, np.int64)
+
+    def sequence(p):
+        k = np.searchsorted(tail, p, "right") - 1
+        return np.where(p < tail[0], p // window, full + k), np.where(p < tail[0], p // window * window, tail[np.maximum(k, 0)])
+
+    first, _ = sequence(pos)
+    last, _ = sequence(pos + length - 1)
+    many = last - first + 1
+    run = np.repeat(np.arange(len(pos)), many)
+    seq = np.arange(len(run)) - np.repeat(np.cumsum(many) - many, many) + first[run]
+    begin = np.where(seq <= full, seq * window, tail[np.clip(seq - full, 0, len(tail) - 1)])
+    end = np.where(seq < full, begin + window, tail[np.clip(seq - full + 1, 0, len(tail) - 1)])
+    a, b = np.maximum(begin, pos[run]), np.minimum(end, (pos + length)[run])
+    return run, a - pos[run], seq, a - begin, b - a
 
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -199,22 +214,26 @@ def _place(names: list, totals: list[int], weights: list[int], window: int, widt
         plan = Rounds(np.array(totals), np.array(weights), window)
         index, total = {s: i for i, s in enumerate(names)}, sum(totals)
         kind = np.dtype("<u2" if width == 2 else "<u4")
-        blank = lambda: {k.split()[0]: [] for k in PIECES.split(", ")} | ({"ids": []} if with_ids else {})
-        for b in batches:
-            out = blank()
-            x = {f: b.column(i).to_pylist() for i, f in enumerate(b.schema.names)}
-            for doc, src, at, base, n, ids in zip(x["doc_id"], x["source"], x["at"], x["base"], x["n"], x["ids"], strict=True):
-                wide = np.frombuffer(ids, kind).astype("<u4")
-                raw = memoryview(wide).cast("B")
-                for lo, pos, length in plan.runs(index[src], base + at, n):
-                    while length:
-                        seq, off, left = sequence_of(pos, total, window)
-                        k = min(left, length)
-                        row = (doc, lo, k, zlib.crc32(raw[4 * lo : 4 * (lo + k)]), n, seq, off, src, *([wide[lo : lo + k].tolist()] if with_ids else []))
-                        for col, v in zip(out.values(), row, strict=True):
-                            col.append(v)
-                        lo, pos, length = lo + k, pos + k, length - k
-            yield out
+        for whole in batches:
+            for b in slices(whole, "ids", 2_000_000):
+                x = {f: b.column(i) for i, f in enumerate(b.schema.names)}
+                queue = np.array([index[s] for s in x["source"].to_pylist()], np.int64)
+                n, at = x["n"].to_numpy(), x["at"].to_numpy() + x["base"].to_numpy()
+                wide = np.frombuffer(b"".join(x["ids"].to_pylist()), kind).astype("<u4")
+                raw, begins = memoryview(wide).cast("B"), np.cumsum(n) - n
+                parts = []
+                for s in np.unique(queue).tolist():
+                    mine = np.flatnonzero(queue == s)
+                    doc, lo, pos, length = plan.runs(s, at[mine], n[mine])
+                    which, skip, seq, off, k = window_pieces(pos, length, total, window)
+                    parts.append((mine[doc[which]], lo[which] + skip, k, seq, off))
+                doc, lo, k, seq, off = (np.concatenate(c) for c in zip(*parts, strict=True))
+                cut_at = (begins[doc] + lo) * 4
+                crc = [zlib.crc32(raw[i:j]) for i, j in zip(cut_at.tolist(), (cut_at + 4 * k).tolist(), strict=True)]
+                out = {"doc_id": x["doc_id"].take(pa.array(doc)), "start": lo, "length": k, "ids_crc32": crc, "doc_tokens": n[doc], "sequence_id": seq, "offset": off, "source": x["source"].take(pa.array(doc))}
+                if with_ids:
+                    out["ids"] = [wide[i:j] for i, j in zip((cut_at // 4).tolist(), (cut_at // 4 + k).tolist(), strict=True)]
+                yield out
 
     return run
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .common import table
+from .common import table, tokenizer_path
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_next
 from .html_text import main_text
@@ -33,12 +33,6 @@ def op8_exact_dedup(spark, sf_dir):
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_packing(spark, sf_dir):
     """All of `documents` packed into windows of 2048 tokens that each hold the corpus mixture."""
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -84,8 +78,16 @@ def op10_language_id(spark, sf_dir):
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    """All stages of corpus_pipeline.py over `documents`."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries():
     return {
+        "pipeline": pipeline,
         "op1_packing": op1_packing,
         "op2_html_text": op2_html_text,
         "op3_jaccard_join": op3_jaccard_join,
