@@ -19,3 +19,6 @@ def register(name: str, oracle: str | None = None):
         return f
 
     return put
+
+
+from . import corpus, learning  # noqa: E402,F401  they register their queries
