@@ -82,6 +82,6 @@ def rewrite_letters(prose: Column, order: Column) -> Column:
     pieces = F.regexp_extract_all(text(prose), F.lit(r"((?<![A-Za-z])[A-H](?![A-Za-z])|[^A-H]+|[A-H])"))
     where = lambda x: F.array_position(order, x)
     # a letter stands alone when neither neighbour is a letter
-    flags = F.transform(pieces, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.try_element_at(pieces, i.cast("int")), F.lit("")).alias("p"), F.coalesce(F.try_element_at(pieces, (i + 2).cast("int")), F.lit("")).alias("n")))
+    flags = F.transform(pieces, lambda x, i: F.struct(x.alias("x"), F.coalesce(F.get(pieces, i - 1), F.lit("")).alias("p"), F.coalesce(F.get(pieces, i + 1), F.lit("")).alias("n")))
     alone = lambda s: s["x"].rlike("^[A-H]$") & ~s["p"].rlike("[A-Za-z]$") & ~s["n"].rlike("^[A-Za-z]")
     return F.array_join(F.transform(flags, lambda s: F.when(alone(s) & (where(s["x"]) > 0), F.char(64 + where(s["x"]))).otherwise(s["x"])), "")
