@@ -60,7 +60,7 @@ class Page:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text and not self.stack[-1][2]:
-                self.blocks.append((self.stack[-1][3], text, self.linked))
+                self.blocks.append((self.stack[-1][3] or ("",), text, self.linked))  # text in no container is in the page
             self.text = []
         self.linked = 0
 
@@ -151,7 +151,7 @@ class Page:
     def extract(self, winners: list[str]) -> str:
         """Blocks inside the first winning path that the page has, else inside its own best."""
         has = {p for paths, _, _ in self.blocks for p in paths}
-        path = next((p for p in winners if p in has), None) or self.best()
+        path = next((p for p in winners if p in has), self.best())
         return "\n".join(text for paths, text, _ in self.blocks if path in paths)
 
 
