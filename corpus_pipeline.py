@@ -21,8 +21,8 @@ STAGES = [
     ("packing", stages.packing),
 ]
 
-#: Neither the classifier nor the random rounding can be said in SQL; tests/llm/test_pipeline.py
-#: holds every stage against a brute-force version.
+#: Neither the classifier nor the random rounding can be said in SQL; tests/llm/test_edges.py
+#: holds exact_dedup, near_dedup and mixing against what brute force keeps.
 ORACLE_SQL = None
 
 

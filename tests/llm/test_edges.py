@@ -107,3 +107,16 @@ def test_pipeline_keeps_what_brute_force_keeps(spark):
     assert sorted(r["doc_id"] for r in near.collect()) == [*range(5, 20), *range(100, 105)]
     taken = {r["doc_id"]: r["count"] for r in mixed_documents(near).groupBy("doc_id").count().collect()}
     assert taken == {r["doc_id"]: r["copies"] for r in mix(near).where("copies > 0").collect()}
+
+
+def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark):
+    """Of each class the smallest id's row stays, whatever other rows have its id; rows without words all stay."""
+    body = {k: " ".join(f"{k}{j}" for j in range(40)) for k in "abcdefgh"}
+    rows = [(1, body["a"]), (None, body["a"] + " more"), (None, body["b"]), (None, body["c"]), (None, body["c"] + " more"), (None, None), (None, ""), (None, " ")]
+    rows += [(7, body["d"]), (7, body["e"]), (3, body["e"] + " more"), (7, body["f"]), (8, body["g"]), (8, body["g"]), (9, body["h"]), (9, body["h"] + " more"), (9, " ")]
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], SCHEMA)
+    got = [(r["doc_id"], r["text"]) for r in stages.near_dedup(spark, d, "").collect()]
+    sure = [(1, body["a"]), (None, body["b"]), (None, None), (None, ""), (None, " "), (7, body["d"]), (3, body["e"] + " more"), (7, body["f"]), (8, body["g"]), (9, " ")]
+    assert all(got.count(r) == 1 for r in sure)
+    rest = [r for r in got if r not in sure]
+    assert sorted((str(i), t.split()[0]) for i, t in rest) == [("9", "h0"), ("None", "c0")]
