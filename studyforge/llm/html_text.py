@@ -2,9 +2,11 @@
 
 Every page's containers are scored by the text of the blocks in them, links weighing
 against; a container is known by its path of tags and classes, with digits generalised.
-Pages vote for their best paths, Spark counts the votes by host, and every page is extracted
-again with its host's winning paths: the first of these that it has, or its own best if it
-has none of them. What lies in a menu, header, footer, sidebar, notice, advert, form,
+From the best one the path climbs as long as the parent adds text that is not mostly links,
+and up to the outermost article, so that titles, introductions, lists and tables beside the
+longest part stay with it. Pages vote for the paths they reach, Spark counts the votes by
+host, and every page is extracted again with the one of its host's winning paths that covers
+most of its text, or its own if the winners cover clearly less than that. What lies in a menu, header, footer, sidebar, notice, advert, form,
 script, style or comment section is left out wherever it stands.
 
 A block's text is what lies between the borders of block elements, with character
@@ -51,7 +53,7 @@ class Page:
 
     def __init__(self, html: str):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = [("", "", False, ())]
+        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = [("", "", False, ("",))]
         self.text: list[str] = []
         self.linked, self.in_link = 0, False
         self._read(html)
@@ -60,7 +62,8 @@ class Page:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text and not self.stack[-1][2]:
-                self.blocks.append((self.stack[-1][3] or ("",), text, self.linked))  # text in no container is in the page
+                titled = any(tag == "h1" for tag, *_ in self.stack)
+                self.blocks.append((self.stack[-1][3], text, 0 if titled else min(self.linked, len(text))))
             self.text = []
         self.linked = 0
 
@@ -144,14 +147,41 @@ class Page:
                 out[path] += worth * 0.5**k
         return out
 
+    def covered(self) -> dict[str, tuple[int, int]]:
+        """Path to the characters of the blocks inside it: all of them, and less twice those in links."""
+        out: dict[str, tuple[int, int]] = {}
+        for paths, text, linked in self.blocks:
+            for path in paths:
+                size, net = out.get(path, (0, 0))
+                out[path] = size + len(text), net + len(text) - 2 * linked
+        return out
+
     def best(self) -> str | None:
+        """From the path of the highest score outwards, while the parent adds text that is not mostly links."""
         s = self.scores()
-        return max(s, key=lambda p: (s[p], p)) if s else None
+        if not s:
+            return None
+        at = max(s, key=lambda p: (s[p], p))
+        chain = next(paths[: paths.index(at) + 1] for paths, _, _ in self.blocks if at in paths)
+        article = next((k for k, path in enumerate(chain) if path.rpartition(">")[2].split(".")[0] == "article"), len(chain))
+        covers = self.covered()
+        for k in range(len(chain) - 2, -1, -1):
+            if covers[chain[k]][0] == covers[at][0]:
+                continue
+            if k < article and covers[chain[k]][1] <= covers[at][1]:
+                break
+            at = chain[k]
+        return at
 
     def extract(self, winners: list[str]) -> str:
-        """Blocks inside the first winning path that the page has, else inside its own best."""
-        has = {p for paths, _, _ in self.blocks for p in paths}
-        path = next((p for p in winners if p in has), self.best())
+        """Blocks inside the winning path that covers most of the page, or inside its own best if that covers clearly more."""
+        own = path = self.best()
+        covers = self.covered()
+        has = [p for p in winners if p in covers]
+        if has:
+            path = max(has, key=lambda p: covers[p][1])
+            if 5 * covers[path][1] < 4 * covers[own][1]:
+                path = own
         return "\n".join(text for paths, text, _ in self.blocks if path in paths)
 
 

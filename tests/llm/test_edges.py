@@ -79,6 +79,34 @@ def test_pages(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+P = "Plain words of a paragraph that goes on for some time. " * 4
+PARA = P.strip()
+LAYOUTS = {
+    "nested body": (f"<article><h1>T</h1><p>intro</p><div class=body><p>{P}</p><p>{P}</p></div></article>", ["T", "intro", PARA, PARA]),
+    "list": (f"<article><p>{P}</p><ul>" + f"<li>{P}</li>" * 3 + "</ul></article>", [PARA] * 4),
+    "quote": (f"<div class=post><p>lead</p><blockquote><p>{P}</p><p>{P}</p></blockquote><p>end</p></div>", ["lead", PARA, PARA, "end"]),
+    "table": (f"<div class=post><p>lead</p><table><tr><td>{P}</td><td>b</td></tr><tr><td class=x>{P}</td></tr></table></div>", ["lead", PARA, "b", PARA]),
+    "linked title": (f"<div class=post><h1><a href=/t>A linked title</a></h1><div class=body><p>{P}</p></div></div>", ["A linked title", PARA]),
+    "links beside": (f"<div class=post><h1>T</h1><div class=body><p>{P}</p></div></div><div class=more>" + "<a href=/x>another page of the site</a> " * 9 + "</div>", ["T", PARA]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_pages_keep_the_whole_article(spark, name):
+    html, want = LAYOUTS[name]
+    page = f"<html><body><nav><a href=/>home</a></nav>{html}<footer>foot</footer></body></html>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", page) for i in range(3)], "page_id long, url string, html string")
+    assert [r["text"].split("\n") for r in main_text(pages).collect()] == [want] * 3
+
+
+def test_pages_of_two_templates_take_the_path_that_covers_them(spark):
+    one = f"<body><div class=content><p>{P}</p><p>{P}</p></div><div class=info><p><a href=/a>all about us</a></p></div></body>"
+    two = f"<body><div class=info><p>{P}</p></div><ul><li><a href=/a>a link that leads away</a></li></ul></body>"
+    pages = spark.createDataFrame([(i, f"http://h.org/{i}", one if i < 2 else two) for i in range(8)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"].split("\n") for r in main_text(pages).collect()}
+    assert got == {i: [PARA] * 2 if i < 2 else [PARA] for i in range(8)}
+
+
 def test_fingerprints_locate_edits(spark):
     text = "\n".join(f"paragraph number {i} says something" for i in range(40))
     both = spark.createDataFrame([(1, text), (2, text.replace("number 7 says", "number 7 denies")), (3, text)], "doc_id long, text string")
