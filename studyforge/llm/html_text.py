@@ -6,8 +6,11 @@ From the best one the path climbs as long as the parent adds text that is not mo
 and up to the outermost article, so that titles, introductions, lists and tables beside the
 longest part stay with it. Pages vote for the paths they reach, Spark counts the votes by
 host, and every page is extracted again with the one of its host's winning paths that covers
-most of its text, or its own if the winners cover clearly less than that. What lies in a menu, header, footer, sidebar, notice, advert, form,
-script, style or comment section is left out wherever it stands.
+most of its text, or its own if the winners cover clearly less than that. What lies in a
+menu, header, footer, sidebar, notice, advert, form, script, style or comment section is
+left out wherever it stands. A form, or an element that only its name marks, stays if most
+of the page's text outside links is in it, unless a fifth of that is in an article or main
+outside it; article and main are never left out for their names.
 
 A block's text is what lies between the borders of block elements, with character
 references decoded and white space turned into one space; br counts as white space. Defined
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, slices
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: HTML's void, raw-text, block and container elements, and those that end an open p or their like.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe svg xmp".split())
@@ -37,8 +40,9 @@ CONTAINERS = frozenset("html body main article section div td th tr table tbody
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address dt caption figcaption summary head thead tfoot legend option".split())
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "head", "option"}
 ALIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
+NAMES = ("class", "id", "role")
 #: Elements, and words of class, id or role, whose contents are not the article.
-LEFT_OUT_TAGS = frozenset("head nav footer aside form button select dialog menu".split()) | RAW
+LEFT_OUT_TAGS = frozenset("head nav footer aside button select dialog menu".split()) | RAW
 LEFT_OUT_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar "
     "footer masthead cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended "
@@ -48,15 +52,24 @@ WORD = re.compile(r"[a-z]+")
 WINNERS = 5
 
 
+def _left_out(names: str) -> bool:
+    """Whether one of the names is made of LEFT_OUT_WORDS only, numbers and hyphens aside."""
+    return any((parts := WORD.findall(name)) and LEFT_OUT_WORDS.issuperset(parts) for name in names.split())
+
+
 class Page:
     """Blocks of a page: (paths from the outermost container to the innermost, text, characters in links)."""
 
     def __init__(self, html: str):
         self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str, bool, tuple[str, ...]]] = [("", "", False, ("",))]
+        self.stack: list[tuple[str, str, bool, tuple[str, ...], tuple[int, ...]]] = [("", "", False, ("",), ())]
+        #: For each block the forms and named elements around it, by number, and whether it is in an article.
+        self.around: list[tuple[tuple[int, ...], bool]] = []
+        self.named = 0
         self.text: list[str] = []
         self.linked, self.in_link = 0, False
         self._read(html)
+        self._leave_out()
 
     def _flush(self) -> None:
         if self.text:
@@ -64,21 +77,40 @@ class Page:
             if text and not self.stack[-1][2]:
                 titled = any(tag == "h1" for tag, *_ in self.stack)
                 self.blocks.append((self.stack[-1][3], text, 0 if titled else min(self.linked, len(text))))
+                self.around.append((self.stack[-1][4], any(tag in ("article", "main") for tag, *_ in self.stack)))
             self.text = []
         self.linked = 0
 
     def _open(self, tag: str, attributes: str) -> None:
-        names = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if attributes else {}
-        words = set(WORD.findall(" ".join(names.values())))
+        names = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() in NAMES} if attributes else {}
         inside = any(t in ("article", "main") for t, *_ in self.stack)
-        out = self.stack[-1][2] or tag in LEFT_OUT_TAGS or (tag == "header" and not inside) or (tag not in ("html", "body") and bool(words & LEFT_OUT_WORDS))
+        out = self.stack[-1][2] or tag in LEFT_OUT_TAGS or (tag == "header" and not inside)
+        around = self.stack[-1][4]
+        if tag == "form" or (tag not in ("html", "body", "article", "main") and _left_out(" ".join(names.values()))):
+            self.named += 1
+            around = (*around, self.named)
         paths = self.stack[-1][3]
         path = self.stack[-1][1]
         if tag in CONTAINERS:
             cls = sorted(re.sub(r"\d+", "#", names.get("class", "")).split())
             path = ">".join(filter(None, [path, ".".join([tag, *cls])]))
             paths = (*paths, path)
-        self.stack.append((tag, path, out, paths))
+        self.stack.append((tag, path, out, paths, around))
+
+    def _leave_out(self) -> None:
+        """Drop the blocks in forms and named elements, but for elements that hold most of the page."""
+        if not self.named:
+            return
+        total, within, main, main_within = 0, defaultdict(int), 0, defaultdict(int)
+        for (_, text, linked), (around, inside) in zip(self.blocks, self.around, strict=True):
+            worth = len(text) - linked
+            total += worth
+            main += worth * inside
+            for k in around:
+                within[k] += worth
+                main_within[k] += worth * inside
+        stays = {k for k, worth in within.items() if 2 * worth > total and 5 * (main - main_within[k]) < total}
+        self.blocks = [block for block, (around, _) in zip(self.blocks, self.around, strict=True) if stays.issuperset(around)]
 
     def _close(self, tag: str) -> None:
         for k in range(len(self.stack) - 1, 0, -1):
@@ -108,6 +140,8 @@ class Page:
                     self._flush()
                 self._close(tag)
                 continue
+            if tag == "svg" and m[3].endswith("/"):
+                continue
             if tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
                 at = end.end() if end else len(html)

@@ -99,6 +99,26 @@ def test_pages_keep_the_whole_article(spark, name):
     assert [r["text"].split("\n") for r in main_text(pages).collect()] == [want] * 3
 
 
+#: A page of which the whole text of its article, and nothing else, is kept.
+NAMED = {
+    "page class": (f'<body><div id=page class="has-sidebar"><p>{P}</p><div class="sidebar">side</div></div></body>', [PARA]),
+    "article class": (f'<body><article class="post tag-search comments-open"><p>{P}</p></article></body>', [PARA]),
+    "article word": (f'<body><article class="social"><p>{P}</p></article><p class=ad>buy</p></body>', [PARA]),
+    "main class": (f'<body><main class="with-related related"><p>{P}</p><div class="social-share">share</div></main></body>', [PARA]),
+    "form": (f'<body><form action=/><div class=menu><a href=/a>a</a></div><div><p>{P}</p></div></form><form>search</form></body>', [PARA]),
+    "data-id": (f'<body><div><p>{P}</p><p data-id="menu" data-role=search title="x id=ad">end</p></div></body>', [PARA, "end"]),
+    "svg": (f'<body><div><p>{P}</p><svg class=i/><p>end</p><svg><text>no</text></svg></div></body>', [PARA, "end"]),
+    "comments": (f'<body><article><p>{P}</p></article><div id=comments><p>{P}</p><p>{P}</p></div><div class="comment-7">c</div></body>', [PARA]),
+}
+
+
+@pytest.mark.parametrize("name", NAMED)
+def test_pages_keep_articles_whatever_their_names(spark, name):
+    html, want = NAMED[name]
+    pages = spark.createDataFrame([(1, "http://h.org/a", html)], "page_id long, url string, html string")
+    assert [r["text"].split("\n") for r in main_text(pages).collect()] == [want]
+
+
 def test_pages_of_two_templates_take_the_path_that_covers_them(spark):
     one = f"<body><div class=content><p>{P}</p><p>{P}</p></div><div class=info><p><a href=/a>all about us</a></p></div></body>"
     two = f"<body><div class=info><p>{P}</p></div><ul><li><a href=/a>a link that leads away</a></li></ul></body>"
