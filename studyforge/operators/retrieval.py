@@ -98,16 +98,36 @@ def screen(evidence: DataFrame, least_run: int = 4, least_cover: float = 0.55) -
     return evidence.withColumn("run", run).withColumn("cover", coverage(characters(F.col("answer")), characters(F.col("sentence")))).withColumn("keep", (F.col("run") >= least_run) | (F.col("cover") >= least_cover))
 
 
-def first_matches(left: DataFrame, units: DataFrame, most: int = 4, letters: int = 4) -> DataFrame:
-    """query, unit: the first units, by number, that contain the query's term (query, term).
+def containing(left: DataFrame, units: DataFrame, size: int = 3) -> DataFrame:
+    """query, term, unit, sentence: every unit that contains the query's term (query, term), in letters of any case.
 
-    Units are found by the term's first word and tested for the whole term, so no pair is
-    formed of a term and a unit without that word.
+    A unit with the term has all its grams of `size` characters, so units are found by the
+    rarest of them and tested for the whole term; shorter terms, of which there are few
+    different ones, are compared with every unit.
     """
-    key = F.try_element_at(words(F.col("term"), letters), F.lit(1))
-    q = left.withColumn("gram", key).where(F.col("gram").isNotNull())
-    j = q.join(postings(units), "gram").join(units.select("unit", "sentence"), "unit").where(F.contains(F.lower("sentence"), F.lower("term")))
-    return j.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("unit"))).where(F.col("place") <= most).select("query", "unit", "place")
+    from ..functions.text import grams
+
+    low = left.where("term IS NOT NULL").withColumn("low", F.lower("term"))
+    terms = low.select("low").distinct()
+    texts = units.select("unit", "sentence", F.lower("sentence").alias("text"))
+    own = terms.where(F.length("low") >= size).select("low", F.explode(grams(F.col("low"), size)).alias("gram"))
+    spread = texts.select("unit", F.explode(grams(F.col("text"), size)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    hits = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("hits"))
+    rarest = own.join(hits, "gram", "left").groupBy("low").agg(F.min_by("gram", F.struct(F.coalesce("hits", F.lit(0)), "gram")).alias("gram"))
+    long = rarest.join(spread, "gram").join(texts, "unit").where(F.contains("text", "low"))
+    short = texts.join(F.broadcast(terms.where(F.length("low") < size)), F.contains("text", "low"))
+    found = long.select("low", "unit", "sentence").unionByName(short.select("low", "unit", "sentence"))
+    return low.join(found, "low").select("query", "term", "unit", "sentence")
+
+
+def first_units(pairs: DataFrame, most: int = 4) -> DataFrame:
+    """query, unit, place: each query's first units by number."""
+    return pairs.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("unit"))).where(F.col("place") <= most).select("query", "unit", "place")
+
+
+def first_matches(left: DataFrame, units: DataFrame, most: int = 4) -> DataFrame:
+    """query, unit, place: the first units, by number, that contain the query's term (query, term)."""
+    return first_units(containing(left, units), most)
 
 
 def hit_rates(options: DataFrame, postings_: DataFrame) -> DataFrame:

@@ -90,6 +90,12 @@ def _queries(spark, sf):
     return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("query"), "text")
 
 
+def _first_words(spark, sf):
+    """Two words of each benchmark item, as a term."""
+    first, second = (F.split_part("text", F.lit(" "), F.lit(k)) for k in (1, 2))
+    return _queries(spark, sf).select("query", F.concat(first, F.lit(" "), second).alias("term"))
+
+
 @register("gram_weight", f"WITH {GRAMS} SELECT gram, hits, round(df, 9) AS df, round(weight, 6) AS weight FROM w")
 def gram_weight(spark, sf):
     u = _units(spark, sf)
@@ -147,8 +153,18 @@ m AS (SELECT query, unit FROM t JOIN u ON contains(lower(sentence), lower(term))
 SELECT query, unit, CAST(row_number() OVER (PARTITION BY query ORDER BY unit) AS INTEGER) AS place FROM m QUALIFY place <= 4""",
 )
 def first_matches(spark, sf):
-    t = _queries(spark, sf).select("query", F.concat_ws(" ", F.split_part("text", F.lit(" "), F.lit(1)), F.split_part("text", F.lit(" "), F.lit(2))).alias("term"))
-    return retrieval.first_matches(t, _units(spark, sf))
+    """The part of first_containing that this query's SQL is limited to: the term's first word of four letters is a word of the unit."""
+    pairs = retrieval.containing(_first_words(spark, sf), _units(spark, sf))
+    return retrieval.first_units(pairs.where(F.array_contains(retrieval.word_grams(F.col("sentence")), F.try_element_at(T.words(F.col("term"), 4), F.lit(1)))))
+
+
+@register(
+    "first_containing",
+    f"""WITH {PIECES}, u AS (SELECT doc_id * 100000 + pos AS unit, sentence FROM units), t AS (SELECT item_id AS query, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS term FROM benchmark)
+SELECT query, unit, CAST(row_number() OVER (PARTITION BY query ORDER BY unit) AS INTEGER) AS place FROM t JOIN u ON contains(lower(sentence), lower(term)) QUALIFY place <= 4""",
+)
+def first_containing(spark, sf):
+    return retrieval.first_matches(_first_words(spark, sf), _units(spark, sf))
 
 
 OPTIONS = f"opts AS (SELECT item_id AS query, gram AS term, item_id % 2 = 0 AS chosen FROM (SELECT item_id, unnest({WORDS.format('text')}) AS gram FROM benchmark))"

@@ -52,3 +52,14 @@ def test_two_key_dedupe_is_the_greedy_pass(spark):
             seen_a.add(a)
             seen_b.add(b)
     assert sorted(r["question"] for r in catalog.QUERIES["exam_pool_dedupe"](spark, SF).collect()) == want
+
+
+def test_first_matches_find_parts_of_words_short_terms_and_unspaced_text(spark):
+    from studyforge.operators.retrieval import first_matches
+
+    units = ["An unbreakable record", "a break in the code", "国防的对象一是侵略", "Breaking news", "the re", "break break", "unbreak", "break"]
+    terms = ["break", "BREAK", "re", "的对象", "防", "in th", "no such", "e", "", None]
+    u = spark.createDataFrame(list(enumerate(units)), "unit long, sentence string")
+    t = spark.createDataFrame(list(enumerate(terms)), "query long, term string")
+    want = [(q, k, i + 1) for q, term in enumerate(terms) if term is not None for i, k in enumerate([k for k, s in enumerate(units) if term.lower() in s.lower()][:4])]
+    assert sorted(map(tuple, first_matches(t, u).collect())) == want
