@@ -63,3 +63,51 @@ def test_first_matches_find_parts_of_words_short_terms_and_unspaced_text(spark):
     t = spark.createDataFrame(list(enumerate(terms)), "query long, term string")
     want = [(q, k, i + 1) for q, term in enumerate(terms) if term is not None for i, k in enumerate([k for k, s in enumerate(units) if term.lower() in s.lower()][:4])]
     assert sorted(map(tuple, first_matches(t, u).collect())) == want
+
+
+@pytest.fixture(scope="module")
+def evidence(spark):
+    """Two questions, a crowd of units of another chapter before the own ones, and what brute force finds for each."""
+    texts = [f"alpha bravo delta gamma number{k}" for k in range(450)] + ["alpha bravo omega other words here", "gamma delta alpha omega", "nothing in common"]
+    units = [(k, "hot" if k < 450 else "own", t) for k, t in enumerate(texts)]
+    queries = [(1, "alpha bravo delta gamma", "alpha bravo", "own"), (2, "alpha bravo delta gamma", "alpha bravo", "none"), (3, "gamma delta omega", "delta", None), (4, "unheard words", "x", "own")]
+    u = spark.createDataFrame(units, "unit long, chapter string, sentence string")
+    return spark.createDataFrame(queries, "query long, text string, answer string, chapter string"), u, queries, units
+
+
+def test_evidence_is_ranked_like_brute_force(evidence):
+    from studyforge.functions.spans import longest_common
+    from studyforge.operators.retrieval import rank, related
+
+    q, u, queries, units = evidence
+    grams = {k: {w for w in t.split() if len(w) >= 4} for k, _, t in units}
+    df = {w: sum(w in g for g in grams.values()) / len(units) for w in set().union(*grams.values())}
+    best, near = {}, {}
+    for query, text, answer, chapter in queries:
+        own = set(text.split())
+        weight = {w: (1 + 60 * df[w]) ** -1.6 if w in df else 0.05 for w in own}
+        a = answer.replace(" ", "")
+        for k, c, t in units:
+            cover = sum(weight[w] for w in own & grams[k]) / sum(weight.values())
+            fit = longest_common(a, t.replace(" ", "")) / len(a)
+            parts = (0.50, 0.22, 0.28) if len(a) <= 6 else (0.38, 0.36, 0.26)
+            share = len(own & grams[k]) / len(own)
+            score = round(parts[0] * fit + parts[1] * cover + parts[2] * share, 6)
+            if cover >= 0.45 and fit >= 0.5:
+                best[query] = min(best.get(query, (9,)), (0 if chapter in (None, c) else 2, -score, k))
+            score = round(0.62 * share + 0.28 * len(own & grams[k]) / len(own | grams[k]) + 0.10 * (c == chapter), 6)
+            if score >= 0.3:
+                near[query] = min(near.get(query, (9,)), (-score, k))
+    got = {r["query"]: (r["unit"], r["score"]) for r in rank(q, u).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[2] for k, v in best.items()} and got[1][0] == 450
+    assert all(abs(v[1] + best[k][1]) < 1e-5 for k, v in got.items())
+    assert {r["query"]: r["unit"] for r in related(q, u, 0.3).collect()} == {k: v[1] for k, v in near.items()}
+
+
+def test_evidence_takes_a_tokeniser_and_a_general_chapter(spark):
+    from studyforge.operators.retrieval import char_grams, rank, related
+
+    u = spark.createDataFrame([(1, "其他", "国防的对象，一是侵略，二是武装颠覆"), (2, "通用", "国防的对象，一是侵略，二是武装颠覆和分裂。"), (3, "一", "没有关系")], "unit long, chapter string, sentence string")
+    q = spark.createDataFrame([(1, "国防的对象一是侵略", "一是侵略", "一")], "query long, text string, answer string, chapter string")
+    assert [r["unit"] for r in rank(q, u, tokens=char_grams, general="通用").collect()] == [2]
+    assert [r["query"] for r in related(q, u, 0.3, char_grams).collect()] == [1]
