@@ -55,6 +55,44 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+class Tables:
+    """Intermediate tables of one operator, which `clear` deletes once its result stands in a table of its own."""
+
+    def __init__(self):
+        self.made: list[tuple[SparkSession, str]] = []
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        """As the function `cut`; the table is deleted by `clear`."""
+        spark = df.sparkSession
+        at = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(at)
+        self.made.append((spark, at))
+        return spark.read.schema(df.schema).parquet(at)
+
+    def clear(self) -> None:
+        for spark, at in self.made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self.made = []
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it apart from the taken ones (in any case)."""
+    have = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def only(df: DataFrame, rows: DataFrame, on: list[str], how: str = "left_semi", most: int = 1_000_000) -> DataFrame:
+    """df joined with a written table of keys, which is broadcast if it has at most so many rows and else shuffled with df."""
+    return df.join(F.broadcast(rows) if rows.count() <= most else rows, on, how)
+
+
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow for a function that yields dicts of columns (lists or arrays), cast to schema."""
     st = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
