@@ -113,12 +113,12 @@ def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     return df.mapInArrow(run, st)
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Pieces of a batch whose texts hold at most so many bytes together (one row at least)."""
+def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Pieces of a batch whose texts hold at most so many bytes together (one row at least), of at most so many rows."""
     import numpy as np
 
     col = batch.column(batch.schema.get_field_index(column))
-    if col.nbytes <= most or batch.num_rows <= 1:
+    if col.nbytes <= most and batch.num_rows <= rows or batch.num_rows <= 1:
         yield batch
         return
     import pyarrow.compute as pc
@@ -127,7 +127,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8_000_000) -> Iterato
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -153,12 +153,17 @@ def _better(a, b):
 LOCAL = "doc_id long, n_chars long, text_sha256 string, owner long, n_bytes long, tag binary, body binary, best_chars long, best_id long, members long"
 
 
+def _append(old: list, new: list) -> tuple[list, int]:
+    old += new
+    return old, 64 * len(new)
+
+
 def _local(digest_bytes: int, budget: int):
     def run(batches):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        forest = Forest(lambda old, new: (old + new, 64 * len(new)), budget)
+        forest = Forest(_append, budget)
         for whole in batches:
             for b in slices(whole, "text"):
                 for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -188,7 +193,8 @@ def _local(digest_bytes: int, budget: int):
 
 def _owners(budget: int):
     def merge(old, new):
-        return (_better(old[0], new[0]), old[1] + new[1], old[2] + new[2]), 40 * len(new[2])
+        owners, more = _append(old[2], new[2])
+        return (_better(old[0], new[0]), old[1] + new[1], owners), more
 
     def run(batches):
         forest = Forest(merge, budget)
@@ -230,8 +236,10 @@ def exact_groups(docs: DataFrame, digest_bytes: int = 32, budget: int = 96_000_0
 
 def keep_owners(docs: DataFrame, **options) -> DataFrame:
     """docs without the copies: of equal texts only the owner's row stays, once even if the row repeats."""
-    keyed = docs.withColumn("_sha", F.sha2(F.encode(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_BYTES.decode(), ""), "UTF-8"), 256))
-    owners = exact_groups(docs, **options).where("kept").select(F.col("keep_id").alias("_id"), F.col("text_sha256").alias("_sha2"), F.col("n_chars").alias("_chars")).distinct()
-    chars = F.char_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    both = keyed.join(owners, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_sha") == F.col("_sha2")) & (chars == F.col("_chars")))
-    return both.dropDuplicates(["_id", "_sha2"]).select(*docs.columns)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    sha = F.sha2(F.encode(F.translate(text, SPACE_BYTES.decode(), ""), "UTF-8"), 256)
+    # the row goes along whole, so that its columns may have any names
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), sha.alias("sha"), F.char_length(text).alias("chars"))
+    owners = exact_groups(docs, **options).where("kept").select("keep_id", "text_sha256", "n_chars").distinct()
+    same = F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("sha") == F.col("text_sha256")) & (F.col("chars") == F.col("n_chars"))
+    return keyed.join(owners, same, "left_semi").dropDuplicates(["id", "sha"]).select("doc.*")

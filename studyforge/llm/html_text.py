@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import arrow_map, slices
+from .common import arrow_map, cut, only, slices
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -243,7 +243,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host for every row of pages."""
     keyed = pages.select(F.col("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), _host(F.col("url")).alias("host"))
-    joined = keyed.join(host_paths(pages), "host", "left").select("page_id", "url", "host", "html", "winners")
+    # a table of a row for each host, which is broadcast while it is small, so that the html stays where it is
+    joined = only(keyed, cut(host_paths(pages), "host-paths"), ["host"], "left", 50_000).select("page_id", "url", "host", "html", "winners")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[dict]:

@@ -23,6 +23,8 @@ from .common import arrow_map, slices
 
 DIMENSIONS = 1024
 BATCH_BYTES = 2_000_000
+#: Texts, and different trigrams, whose dense counts and vectors are held at a time.
+BATCH_ROWS, TRIGRAMS = 1_000, 8_192
 #: Alphabets up to this size index trigrams directly; larger ones sort them.
 DIRECT = 160
 
@@ -90,8 +92,17 @@ def bound(letters: Letters, codes: np.ndarray) -> np.ndarray:
     return (np.roll(v, 2, 1)[at[:, 0]] * np.roll(v, 1, 1)[at[:, 1]] * v[at[:, 2]]).astype(np.float32)
 
 
-def counts(rows: int, row: np.ndarray, num: np.ndarray, width: int) -> np.ndarray:
-    return np.bincount(row * width + num, minlength=rows * width).reshape(rows, width).astype(np.float32)
+def bundled(letters: Letters, rows: int, row: np.ndarray, num: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Sum of the trigrams' vectors for each row, a bounded number of different trigrams at a time."""
+    by = np.argsort(num, kind="stable")
+    row, num = row[by], num[by]
+    out = np.zeros((rows, letters.dims))
+    for lo in range(0, len(codes), TRIGRAMS):
+        a, b = np.searchsorted(num, [lo, lo + TRIGRAMS])
+        width = min(TRIGRAMS, len(codes) - lo)
+        part = np.bincount(row[a:b] * width + num[a:b] - lo, minlength=rows * width).reshape(rows, width).astype(np.float32)
+        out += part @ bound(letters, codes[lo : lo + width])
+    return out
 
 
 def learn(docs: DataFrame, dims: int = DIMENSIONS, seed: int = 11) -> tuple[list[str], np.ndarray]:
@@ -100,13 +111,13 @@ def learn(docs: DataFrame, dims: int = DIMENSIONS, seed: int = 11) -> tuple[list
     def run(batches) -> Iterator[dict]:
         letters, sums = Letters(dims, seed), {}
         for whole in batches:
-            for b in slices(whole, "text", BATCH_BYTES):
+            for b in slices(whole, "text", BATCH_BYTES, BATCH_ROWS):
                 langs = b.column(1).to_pylist()
                 names = sorted(set(langs))
                 number = {x: i for i, x in enumerate(names)}
                 doc, num, codes = trigrams([t or "" for t in b.column(0).to_pylist()])
                 which = np.array([number[x] for x in langs], np.int64)
-                part = counts(len(names), which[doc], num, len(codes)).astype(np.float64) @ bound(letters, codes)
+                part = bundled(letters, len(names), which[doc], num, codes)
                 for x, v in zip(names, part, strict=True):
                     sums[x] = sums.get(x, 0) + v.round().astype(np.int64)
         for x, v in sums.items():
@@ -128,13 +139,13 @@ def identify(docs: DataFrame, names: list[str], prototypes: np.ndarray, seed: in
     def run(batches) -> Iterator[dict]:
         letters = Letters(protos.shape[1], seed)
         for whole in batches:
-            for b in slices(whole, "text", BATCH_BYTES):
+            for b in slices(whole, "text", BATCH_BYTES, BATCH_ROWS):
                 doc, num, codes = trigrams([t or "" for t in b.column(1).to_pylist()])
                 n = b.num_rows
                 if not names or not len(codes):
                     yield {"doc_id": b.column(0), "lang_pred": ["und"] * n, "score": [0.0] * n}
                     continue
-                v = counts(n, doc, num, len(codes)) @ bound(letters, codes)
+                v = bundled(letters, n, doc, num, codes)
                 cos = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)) @ protos.T
                 best = cos.argmax(1)
                 known = np.bincount(doc, minlength=n) > 0

@@ -157,10 +157,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     from pyspark.sql import Window as W
 
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    counts = mix(docs, **options).where("copies > 0").select(F.col("row").alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    keyed = docs.withColumn("_n", size)
-    same = F.row_number().over(W.partitionBy("doc_id", "source", "_n").orderBy(F.lit(1))) - 1
-    keyed = keyed.withColumn("_k", same.cast("long"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_src")) & (F.col("_n") == F.col("_size")) & (F.col("_k") == F.col("_row"))
+    counts = mix(docs, **options).where("copies > 0").select(F.col("row").alias("their_row"), F.col("doc_id").alias("their_id"), F.col("source").alias("their_source"), F.col("size").alias("their_size"), "copies")
+    # the row goes along whole, so that its columns may have any names
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+    same = F.row_number().over(W.partitionBy("id", "source", "size").orderBy(F.lit(1))) - 1
+    keyed = keyed.withColumn("row", same.cast("long"))
+    on = F.col("id").eqNullSafe(F.col("their_id")) & F.col("source").eqNullSafe(F.col("their_source")) & (F.col("size") == F.col("their_size")) & (F.col("row") == F.col("their_row"))
     taken = keyed.join(counts, on)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, cut, slices
 
 PARTS = 65_536
-#: Distinct pieces that a worker process remembers.
-WORDS_KEPT = 800_000
+#: Distinct pieces that a worker process remembers, and their characters.
+WORDS_KEPT, CHARS_KEPT = 800_000, 24_000_000
 
 
 #: One encoder for each tokenizer and worker process, so that tasks share its words.
@@ -65,6 +65,7 @@ def _make_encoder(path: str, end_id: int):
     end = array(kind, [end_id]).tobytes()
     odd = re.compile(r" \s|\s ")
     cache: dict[str, bytes] = {}
+    held = 0
 
     def encode(parts: list[str]) -> list[bytes]:
         return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
@@ -86,8 +87,10 @@ def _make_encoder(path: str, end_id: int):
             cache[w] = cache[stem] + tails[tail]
 
     def run(texts: list[str]) -> list[bytes]:
-        if len(cache) > WORDS_KEPT:
+        nonlocal held
+        if len(cache) > WORDS_KEPT or held > CHARS_KEPT:
             cache.clear()
+            held = 0
         cuts, missing = [], set()
         for text in texts:
             if text and text[0] != " " and text[-1] != " " and odd.search(text) is None and not any(s in text for s in specials):
@@ -100,6 +103,7 @@ def _make_encoder(path: str, end_id: int):
                 cuts.append(None)
         missing = {w for w in missing if w not in cache}
         if missing:
+            held += sum(map(len, missing))
             learn(missing)
         whole = [t for t, p in zip(texts, cuts, strict=True) if p is None]
         coded = iter(encode(whole)) if whole else iter(())

@@ -36,6 +36,8 @@ NEAREST = 25
 POWER = 6
 THRESHOLD = 0.3
 BATCH_BYTES = 1_500_000
+#: Texts whose features, a dense row each, are held at a time.
+BATCH_ROWS = 1_000
 
 
 def _classes() -> np.ndarray:
@@ -141,7 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def run(batches) -> Iterator[dict]:
         for whole in batches:
-            for b in slices(whole, "text", BATCH_BYTES):
+            for b in slices(whole, "text", BATCH_BYTES, BATCH_ROWS):
                 m = features([t or "" for t in b.column(2).to_pylist()])
                 at = [np.flatnonzero(r) for r in m]
                 yield {"y": b.column(0), "id": b.column(1), "at": at, "v": [r[i] for r, i in zip(m, at, strict=True)]}
@@ -162,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int
 
     def run(batches) -> Iterator[dict]:
         for whole in batches:
-            for b in slices(whole, "text", BATCH_BYTES):
+            for b in slices(whole, "text", BATCH_BYTES, BATCH_ROWS):
                 yield {"doc_id": b.column(0), "score": shared.value.score(features([t or "" for t in b.column(1).to_pylist()]))}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -182,7 +184,7 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
         for t in texts:
             part.append(t or "")
             size += len(part[-1])
-            if size > BATCH_BYTES or len(part) >= 1_000:
+            if size > BATCH_BYTES or len(part) >= BATCH_ROWS:
                 out.append(shared.value.score(features(part)))
                 part, size = [], 0
         if part:

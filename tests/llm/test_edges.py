@@ -35,7 +35,7 @@ LABELS = "doc_id long, quality int, toxic int"
 @pytest.fixture(scope="module")
 def docs(spark):
     # clashing names: operators must not mix these up with their own
-    return spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("x") for c in ("v", "n", "size", "source_size", "copies", "hub", "shard", "owner", "place", "token", "comp", "label")})
+    return spark.createDataFrame(ROWS, SCHEMA).withColumns({c: F.lit("x") for c in ("v", "n", "size", "source_size", "copies", "hub", "shard", "owner", "place", "token", "comp", "label", "_id", "_n", "_k", "_copy", "_sha", "_sha2", "_chars", "_row", "_key", "row", "key", "doc", "id", "sha", "chars", "copies2", "keep_id", "text_sha256", "their_row", "grouped")})
 
 
 @pytest.fixture(scope="module")
@@ -168,3 +168,52 @@ def test_near_dedup_keeps_different_texts_of_null_and_repeated_ids(spark):
     assert all(got.count(r) == 1 for r in sure)
     rest = [r for r in got if r not in sure]
     assert sorted((str(i), t.split()[0]) for i, t in rest) == [("9", "h0"), ("None", "c0")]
+
+
+def test_stages_return_the_callers_columns_unchanged(spark, docs, tmp_path):
+    """Columns named like the operators' own come back with their values."""
+    names = ["_n", "_k", "_copy", "_sha", "row", "key", "doc", "id", "copies"]
+    for stage in (stages.exact_dedup, stages.near_dedup, stages.mixing):
+        assert {tuple(r) for r in stage(spark, docs, "").select(*names).collect()} == {("x",) * len(names)}
+
+
+def test_memory_is_bounded_by_rows_and_trigrams():
+    """2 MB of text with 100,000 trigrams, 10,000 short texts and 200,000 equal texts stay far below what one dense table would take."""
+    import tracemalloc
+
+    import numpy as np
+
+    from studyforge.llm import exact_dedup, language_id, quality
+    from studyforge.llm.common import slices
+
+    rng = np.random.default_rng(1)
+    text = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 100_000)))
+    letters = language_id.Letters(language_id.DIMENSIONS, 11)
+    doc, num, codes = language_id.trigrams([text])
+    assert len(codes) > 90_000
+    tracemalloc.start()
+    some = language_id.bundled(letters, 1, doc, num, codes)
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    few = slice(0, 500)
+    want = language_id.bound(letters, codes[few]).sum(0)
+    assert np.allclose(language_id.bundled(letters, 1, doc[num < 500], num[num < 500], codes[few])[0], want) and some.shape == (1, letters.dims)
+    tracemalloc.reset_peak()
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["two words"] * 10_000})
+    for b in slices(batch, "text", quality.BATCH_BYTES, quality.BATCH_ROWS):
+        assert b.num_rows <= quality.BATCH_ROWS
+        quality.features(b.column(0).to_pylist())
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    forest = exact_dedup.Forest(exact_dedup._append, 96_000_000)
+    for i in range(200_000):
+        forest.add(b"tag", b"body", [(i, 4)])
+    assert [len(members) for _, _, members in forest.drain()] == [200_000]
+
+
+def test_dedup_spills_and_short_digests_give_the_same_groups(spark):
+    rows = [(i, f"text {i % 40} " * 30) for i in range(200)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, exact_groups(d).collect()))
+    assert want == sorted(map(tuple, exact_groups(d, digest_bytes=1, budget=2_000).collect()))
