@@ -16,6 +16,8 @@ LETTERS = r"\p{L}\p{N}"
 ENDS_CJK = "。！？"
 ENDS_LATIN = ".!?"
 PUNCTUATION = r"[，。、；：？！“”‘’（）《》〈〉【】\[\](),.;:?!\"'·…—\-_/\\|~`]"
+#: Marks that typed answers are compared without.
+ANSWER_MARKS = r"[,，.。;；:：、!！?？\"'“”‘’()（）\[\]【】<>《》\-—_/\\|]"
 WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
 NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
 
@@ -47,7 +49,7 @@ def narrow(c: Column) -> Column:
 
 def norm_text(c: Column) -> Column:
     """Comparison key of typed answers: narrow, without punctuation and white space, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(narrow(c), PUNCTUATION, ""), r"[\s\x{3000}]+", ""))
+    return F.lower(F.regexp_replace(F.regexp_replace(narrow(c), ANSWER_MARKS, ""), r"[\s\x{3000}]+", ""))
 
 
 def norm_stem(c: Column) -> Column:
@@ -78,13 +80,15 @@ def sentences(c: Column, ends: str = ENDS_CJK) -> Column:
     return F.filter(F.transform(F.split(text(c), f"(?<=[{ends}])"), F.trim), lambda s: F.length(s) > 0)
 
 
-def trim_sentence(c: Column, most: int = 120, marks: str = "；，、") -> Column:
-    """At most so many characters, cut at the last mark in the second half if there is one, with an ellipsis."""
+def trim_sentence(c: Column, most: int = 120, marks: str = "；，、", end: str = "。") -> Column:
+    """At most so many characters: up to the last of the first mark that stands in the second half, and `end`; else cut, with an ellipsis."""
     head = F.substring(c, 1, most)
-    tail = F.length(F.regexp_extract(head, f"([^{marks}]*)$", 1))
-    at = F.length(head) - tail - 1
-    cut = F.when(at >= most // 2, F.substring(head, F.lit(1), at)).otherwise(head)
-    return F.when(F.length(c) <= most, c).otherwise(F.concat(cut, F.lit("…")))
+    out = F.concat(head, F.lit("…"))
+    for mark in reversed(marks):
+        back = F.instr(F.reverse(head), F.lit(mark))
+        at = F.length(head) - back
+        out = F.when((back > 0) & (at * 2 >= most), F.concat(F.substring(head, F.lit(1), at), F.lit(end))).otherwise(out)
+    return F.when(F.length(c) <= most, c).otherwise(out)
 
 
 def grams(c: Column, n: int) -> Column:
@@ -152,12 +156,15 @@ def phrase_match(blob: Column, phrase: str) -> Column:
     return F.contains(F.lower(blob), F.lit(p)) if p else F.lit(True)
 
 
-def proximity(hay: Column, anchor: Column, terms: Column, reach: int = 14) -> Column:
-    """0, .4, .6 or 1 for none, one, two or more terms within reach of the anchor."""
-    at = F.instr(hay, anchor) if isinstance(anchor, str) else F.locate(anchor, hay)
-    near = hay.substr(F.greatest(at - reach, F.lit(1)), F.length(anchor) + 2 * reach)
+def proximity(hay: Column, anchor: Column | str, terms: Column, reach: int = 14) -> Column:
+    """1 if two or more terms stand within reach of the anchor, .6 if one does, else 0; .4 if the anchor is absent but some term is there."""
+    s, a = squeeze(hay), text(F.lit(anchor) if isinstance(anchor, str) else anchor)
+    at = F.instr(s, a)
+    start = F.greatest(at - reach, F.lit(1))
+    near = s.substr(start, at + F.length(a) + reach - start)
     hits = F.size(F.filter(terms, lambda t: F.contains(near, t)))
-    return F.when((at == 0) | (hits == 0), 0.0).when(hits == 1, 0.4).when(hits == 2, 0.6).otherwise(1.0)
+    absent = F.when(F.exists(terms, lambda t: F.contains(s, t)), 0.4).otherwise(0.0)
+    return F.when((F.length(s) == 0) | (F.length(a) == 0), 0.0).when(at == 0, absent).when(hits >= 2, 1.0).when(hits == 1, 0.6).otherwise(0.0)
 
 
 def day_key(ts: Column) -> Column:

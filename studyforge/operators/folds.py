@@ -82,23 +82,37 @@ def sample_per_group(df: DataFrame, group: str, order: str, n: int, seed: int) -
     return df.withColumn("_t", turn).where(F.col("_t") <= n).drop("_t")
 
 
-def pick_terms(terms, most: int = 6):
-    """Terms in order, without those that are part of a term chosen before or hold one, at most `most`."""
+#: Tails that tell a phrase from a term, and starts of a new item in a paper.
+PHRASE_TAILS = "(始于|是|有|包括|分为|属于|成为|应当|必须)$"
+ITEM_STARTS = (
+    r"^\d{1,3}\s*[、.．)）]|^[（(]\s*\d{1,3}\s*[)）]|^[A-Ha-h]\s*[、.．)）]|^[一二三四五六七八九十]+\s*[、.．]"
+    r"|^第[一二三四五六七八九十\d]+[章节讲部分]|^[【（(]?\s*(答案|解析|参考答案|判断题|单选题|多选题|填空题|简答题|名词解释)"
+)
+CLEAN_ENDS = r"[。！？；：\)）】”\"'\.]$|(答案|解析)[：:]\s*\S+$"
+
+
+def pick_terms(terms, most: int = 6, longest: int = 12, tails: str = PHRASE_TAILS):
+    """Terms in order, at most `most`: none that is part of one chosen before, none too long, no longer phrase with a verb's tail."""
 
     def step(chosen, t):
-        clash = F.exists(chosen, lambda c: F.contains(c, t) | F.contains(t, c))
-        return F.when((F.size(chosen) < most) & ~clash, F.concat(chosen, F.array(t))).otherwise(chosen)
+        no = F.exists(chosen, lambda c: F.contains(c, t)) | (F.length(t) > longest) | (t.rlike(tails) & (F.length(t) > 6))
+        return F.when((F.size(chosen) < most) & ~no, F.concat(chosen, F.array(t))).otherwise(chosen)
 
     return F.aggregate(terms, F.array().cast("array<string>"), step)
 
 
-def merge_lines(lines, most: int = 45, ends: str = ".!?"):
-    """Lines of a page (array) with continuations joined: a line goes on while what has gathered is short and unfinished."""
+def merge_lines(lines, most: int = 45, ends: str = CLEAN_ENDS, starts: str = ITEM_STARTS):
+    """Lines of a page (array) with hard breaks undone: a line that starts no new item goes on the one before if that is short or unfinished.
+
+    Runs of blanks become one; empty lines and lines of brackets alone go.
+    """
+    tidy = F.transform(lines, lambda x: F.trim(F.regexp_replace(x, "[ \\t\u00a0]+", " ")))
+    whole = F.filter(tidy, lambda x: ~x.rlike(r"^[()\[\]【】\s]*$"))
 
     def step(done, line):
         last = F.try_element_at(done, F.lit(-1))
-        goes_on = last.isNotNull() & (F.length(last) < most) & ~last.rlike(f"[{ends}]$")
-        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat_ws(" ", last, line)))
+        goes_on = last.isNotNull() & ~line.rlike(starts) & ((F.length(last) < most) | ~last.rlike(ends))
+        joined = F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.concat(last, line)))
         return F.when(goes_on, joined).otherwise(F.concat(done, F.array(line)))
 
-    return F.aggregate(lines, F.array().cast("array<string>"), step)
+    return F.aggregate(whole, F.array().cast("array<string>"), step)

@@ -28,7 +28,14 @@ def test_normalisers(spark):
     assert one(spark, text.date_ok(F.lit("2026-02-30")), text.date_ok(F.lit("2026-02-28"))) == (False, True)
     assert one(spark, text.escape_html(F.lit("<a&'>"))) == "&lt;a&amp;&#39;&gt;"
     assert one(spark, text.render_parts(F.lit("a"), F.lit(" "), F.lit("b"))) == "a\nb"
-    assert one(spark, text.trim_sentence(F.lit("x" * 80 + "，" + "y" * 60))) == "x" * 80 + "…"
+    assert one(spark, text.trim_sentence(F.lit("x" * 80 + "，" + "y" * 60))) == "x" * 80 + "。"
+    assert one(spark, text.trim_sentence(F.lit("x" * 70 + "；" + "y" * 20 + "，" + "z" * 60))) == "x" * 70 + "。"
+    assert one(spark, text.trim_sentence(F.lit("x" * 20 + "；" + "y" * 140))) == "x" * 20 + "；" + "y" * 99 + "…"
+    assert one(spark, text.norm_text(F.lit("a<b>·~c"))) == "ab·~c"
+    terms = F.array(F.lit("bb"), F.lit("cc"))
+    near = lambda s, a: one(spark, text.proximity(F.lit(s), F.lit(a), terms))
+    assert [near("bb key cc", "key"), near("bb key", "key"), near("no key", "key"), near("bb and", "key"), near("and", "key"), near("", "key")] == [1.0, 0.6, 0.0, 0.4, 0.0, 0.0]
+    assert near("bb" + "-" * 15 + "key", "key") == 0.0
 
 
 def test_search(spark):
@@ -73,6 +80,6 @@ def test_spans(spark):
 
 
 def test_folds(spark):
-    assert one(spark, folds.pick_terms(F.array(*[F.lit(x) for x in ("abc", "ab", "xyz", "wxyzw", "q")]), 3)) == ["abc", "xyz", "q"]
-    assert one(spark, folds.merge_lines(F.array(*[F.lit(x) for x in ("a b", "c.", "d")]))) == ["a b c.", "d"]
+    assert one(spark, folds.pick_terms(F.array(*[F.lit(x) for x in ("abc", "ab", "thirteen long", "xyz", "wxyzw", "q")]), 4)) == ["abc", "xyz", "wxyzw", "q"]
+    assert one(spark, folds.merge_lines(F.array(*[F.lit(x) for x in ("a b", "()", "x.", "d", "2. e", "f" * 50 + "。", "g", "A、h")]))) == ["a bx.d", "2. e" + "f" * 50 + "。", "g", "A、h"]
     assert sorted(folds.shuffled(10, 3)) == list(range(10)) and folds.shuffled(10, 3) == folds.shuffled(10, 3) != folds.shuffled(10, 4)
