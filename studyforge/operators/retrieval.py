@@ -35,9 +35,9 @@ def postings(units: DataFrame, tokens=word_grams) -> DataFrame:
 
 
 def weights(postings_: DataFrame, units: DataFrame, power: float = POWER) -> DataFrame:
-    """gram, df (share of the units that have it), weight."""
+    """gram, df (share of the units that have it), weight; postings name a gram once for each unit."""
     total = units.agg(F.count(F.lit(1)).alias("total"))
-    df = postings_.groupBy("gram").agg(F.count_distinct("unit").alias("hits"))
+    df = postings_.groupBy("gram").agg(F.count(F.lit(1)).alias("hits"))
     share = F.col("hits") / F.col("total")
     return df.join(F.broadcast(total)).select("gram", "hits", share.alias("df"), gram_weight(share, power).alias("weight"))
 
