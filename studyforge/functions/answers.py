@@ -29,7 +29,7 @@ def normalise(kind: Column, raw: Column, ingest: bool = False) -> Column:
     return F.struct(
         F.when(kind == "single", F.slice(many, 1, 1)).when(kind == "multi", many).alias("letters"),
         F.when(kind == "judge", F.lower(F.trim(text(raw))).isin(*TRUE_WORDS)).otherwise(none.cast("boolean")).alias("bool"),
-        F.when(kind == "fill", F.transform(F.split(text(raw), r"[;；|]"), F.trim)).alias("blanks"),
+        F.when(kind == "fill", F.transform(F.split(text(raw), r"[;；|]"), lambda x: F.trim(x))).alias("blanks"),
         F.when(kind == "short", F.trim(text(raw))).alias("text"),
     )
 

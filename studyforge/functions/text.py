@@ -77,7 +77,7 @@ def clean(c: Column) -> Column:
 
 def sentences(c: Column, ends: str = ENDS_CJK) -> Column:
     """Sentences that keep their end marks; empty ones go."""
-    return F.filter(F.transform(F.split(text(c), f"(?<=[{ends}])"), F.trim), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text(c), f"(?<=[{ends}])"), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
 
 
 def trim_sentence(c: Column, most: int = 120, marks: str = "；，、", end: str = "。") -> Column:

@@ -134,6 +134,33 @@ def merge_daily(*sides: DataFrame) -> DataFrame:
     return out.groupBy("learner", "day").agg(F.sum("n").alias("n"), F.sum("ok").alias("ok"))
 
 
+def import_progress(local: DataFrame, incoming: DataFrame, mode: str) -> DataFrame:
+    """Progress after an import: `replace` keeps the incoming rows alone, `merge` adds them to the local ones."""
+    if mode not in ("replace", "merge"):
+        raise ValueError(f"mode is replace or merge, not {mode}")
+    return sanitise(incoming) if mode == "replace" else merge(local, incoming)
+
+
+def merge_exams(local: DataFrame, incoming: DataFrame, most: int = 50) -> DataFrame:
+    """learner, ts, total, correct, score, place of the newest exams of both sides; of one ts the local one stays, then the smallest exam id.
+
+    Exams without a time or items are left out, and correct answers are at least 0 and at most all.
+    """
+    cols = ("exam", "learner", "ts", "total", "correct")
+    both = local.select(*cols, F.lit(0).alias("side")).unionByName(incoming.select(*cols, F.lit(1).alias("side"))).where("ts IS NOT NULL AND total > 0")
+    one = both.groupBy("learner", "ts").agg(F.min_by(F.struct("total", "correct"), F.struct("side", "exam")).alias("e"))
+    e = one.select("learner", "ts", "e.total", F.least(F.greatest(F.coalesce("e.correct", F.lit(0)), F.lit(0)), "e.total").alias("correct"))
+    e = e.withColumn("score", pct(F.col("correct"), F.col("total")))
+    return e.withColumn("place", F.row_number().over(W.partitionBy("learner").orderBy(F.col("ts").desc()))).where(F.col("place") <= most)
+
+
+def session_rate(results: DataFrame) -> DataFrame:
+    """session, answered, rate of results (session, question, seq, ok): the last result of a question counts."""
+    last = results.groupBy("session", "question").agg(F.max_by("ok", "seq").alias("ok"))
+    g = last.groupBy("session").agg(F.count(F.lit(1)).alias("answered"), F.count_if("ok").alias("right"))
+    return g.select("session", "answered", pct(F.col("right"), F.col("answered")).alias("rate"))
+
+
 def scope(questions: DataFrame, progress: DataFrame, kind: str) -> DataFrame:
     """Questions of one learner group's scope: all, wrong (marked), new (never answered), fav, review."""
     on = {"wrong": F.col("wrong_flag"), "fav": F.col("fav"), "review": (F.col("seen") > 0) & ~mastered()}

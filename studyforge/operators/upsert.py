@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import CJK, clean, grams, text, words
 from .audit import first_reason
 
-CONFIDENT = ("high", "medium")
+#: Fixed values.
+CONFIDENCES = ("high", "medium", "low")
+LEAST_REASON = 12
 
 
 def host(url):
@@ -27,8 +30,8 @@ def authoritative(url, allowed: list[str]):
 def upsert_evidence(base: DataFrame, incoming: DataFrame, allowed: list[str]) -> DataFrame:
     """base (id, url, strong) after incoming (id, ord, found, url), with action.
 
-    Gates in order: unknown id, nothing found, no url, source not allowed. What passes replaces
-    weak evidence; strong evidence stays. Several rows for an id act one after the other, so the
+    Gates in order: unknown id, nothing found, no url. What passes replaces weak evidence, from any
+    source; strong evidence (an allowed source) stays. merge_web has the full set of gates. Several rows for an id act one after the other, so the
     first strong one wins, or else the last.
     """
     strong = authoritative(F.col("in_url"), allowed)
@@ -44,6 +47,44 @@ def upsert_evidence(base: DataFrame, incoming: DataFrame, allowed: list[str]) ->
     return out.select("id", F.when(take, F.col("in_url")).otherwise(F.col("url")).alias("url"), F.when(take, F.col("in_strong")).otherwise(F.col("strong")).alias("strong"), action.alias("action"))
 
 
+def on_topic(stem: Column, reason: Column, letters: str = CJK, least: int = 2) -> Column:
+    """Whether a reason shares a run of three letters with the stem, or holds two or more of its words."""
+    runs = lambda c: F.filter(grams(text(c), 3), lambda g: g.rlike(f"^[{letters}]{{3}}$"))
+    terms = F.array_distinct(words(stem, 2, letters))
+    return F.arrays_overlap(runs(stem), runs(reason)) | (F.size(F.filter(terms, lambda w: F.contains(F.lower(text(reason)), w))) >= least)
+
+
+def merge_web(base: DataFrame, incoming: DataFrame, allowed: list[str], letters: str = CJK) -> tuple[DataFrame, DataFrame]:
+    """base (id, stem, src, reason, url, disputed) after incoming (id, ord, found, confidence, url, reason, disputed), and each incoming row with its reject_reason.
+
+    Gates in order: unknown id; has evidence already, unless it is a web source that is not allowed and the new one is; not found;
+    source not allowed; unknown confidence; reason too short; off topic. Rows of an id act in their order: what is taken is from
+    an allowed source, so all after the first accepted row find evidence already there.
+    """
+    b = base.select("id", "stem", F.col("src").alias("_src"), F.col("url").alias("_url"), (text("reason") != "").alias("_has"), F.lit(True).alias("_known"))
+    url = F.trim(text("url"))
+    rows = incoming.withColumns({"url": url, "reason": clean(F.col("reason"))}).join(b, "id", "left")
+    good = authoritative(F.col("url"), allowed) & F.col("url").rlike("^https?://")
+    better = (F.col("_src") == "web") & ~authoritative(text("_url"), allowed) & good
+    gates = {
+        "unknown id": F.col("_known").isNull(),
+        "has evidence": F.col("_has") & ~F.coalesce(better, F.lit(False)),
+        "not found": ~F.coalesce("found", F.lit(False)),
+        "source not allowed": ~good,
+        "unknown confidence": ~F.lower(text("confidence")).isin(*CONFIDENCES),
+        "too short": F.length("reason") < LEAST_REASON,
+        "off topic": ~on_topic(F.regexp_replace(text("stem"), "[_＿]{2,}", " "), F.col("reason"), letters),
+    }
+    tested = first_reason(rows, gates)
+    first = tested.where("reject_reason IS NULL").groupBy("id").agg(F.min_by(F.struct("ord", "url", "reason", "disputed"), "ord").alias("_new"))
+    log = tested.join(first.select("id", F.col("_new.ord").alias("_first")), "id", "left").withColumn("reject_reason", F.when(F.col("ord") > F.col("_first"), "has evidence").otherwise(F.col("reject_reason")))
+    j = base.join(first, "id", "left")
+    new = F.col("_new").isNotNull()
+    take = {c: F.when(new, F.col("_new")[c]).otherwise(F.col(c)) for c in ("url", "reason")}
+    out = j.withColumns({**take, "src": F.when(new, "web").otherwise(F.col("src")), "disputed": F.coalesce(F.when(new, F.col("_new.disputed")), "disputed", F.lit(False))})
+    return out.select(*base.columns), log.select(*incoming.columns, "reject_reason")
+
+
 def compare_and_set(base: DataFrame, patches: DataFrame, key: str, column: str) -> DataFrame:
     """base with patched values; patches (key, old, new). A row that is neither old nor new makes the query fail; running twice changes nothing."""
     j = base.join(patches.select(key, "old", "new"), key, "left")

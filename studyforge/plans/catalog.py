@@ -21,4 +21,4 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-from . import corpus, learning  # noqa: E402,F401  they register their queries
+from . import bank, corpus, learning  # noqa: E402,F401  they register their queries
