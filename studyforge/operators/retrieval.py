@@ -148,14 +148,14 @@ def first_matches(left: DataFrame, units: DataFrame, most: int = 4) -> DataFrame
 
 def hit_rates(options: DataFrame, postings_: DataFrame) -> DataFrame:
     """chosen, options, hits, rate of options (query, option, term, chosen) whose term is in the corpus."""
-    known = postings_.groupBy("gram").agg(F.count_distinct("unit").alias("n"))
+    known = postings_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))  # a gram once for each unit
     j = options.join(known, F.col("term") == F.col("gram"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return j.groupBy("chosen").agg(F.count(F.lit(1)).alias("options"), F.count_if(F.col("n") > 0).alias("hits"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("rate"))
 
 
 def suspicious(options: DataFrame, postings_: DataFrame, least: int = 2) -> DataFrame:
     """Queries whose best unchosen option occurs more often than their worst chosen one, and `least` times at least."""
-    known = postings_.groupBy("gram").agg(F.count_distinct("unit").alias("n"))
+    known = postings_.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))  # a gram once for each unit
     j = options.join(known, F.col("term") == F.col("gram"), "left").withColumn("n", F.coalesce("n", F.lit(0)))
     g = j.groupBy("query").agg(F.min(F.when(F.col("chosen"), F.col("n"))).alias("worst_chosen"), F.max(F.when(~F.col("chosen"), F.col("n"))).alias("best_other"))
     return g.where((F.col("best_other") > F.col("worst_chosen")) & (F.col("best_other") >= least))
