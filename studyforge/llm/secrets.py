@@ -6,7 +6,9 @@ accepts, the rule's reversed automaton walks back to the leftmost start and its
 one forward to the longest end, so a rule's matches are leftmost and do not overlap.
 
 A batch's texts lie in one buffer, cut into lanes after bytes that lead every state back to
-the start; the lanes advance together, one array step for each byte.
+the start; the lanes advance together, one array step for each byte. A long stretch without
+such a byte is cut anywhere: its lanes begin in the start state too, and those that turn out
+to follow another state are walked again from that one, until none changes.
 
 Defined results: null text counts as empty (no spans, the hash of the empty string);
 repeated rows give a row each; an empty table gives no rows. Offsets are code points.
@@ -223,6 +225,7 @@ class Scanner:
         self.all = compile_rules([r.regex for r in rules], search=True)
         self.ahead = [compile_rules([r.regex], search=False) for r in rules]
         self.behind = [compile_rules([r.regex], search=False, back=True) for r in rules]
+        self.alone = [compile_rules([r.regex], search=True) for r in rules]
         to = self.all.next.reshape(-1, self.all.classes)
         resets = [k for k in range(self.all.classes) if (to[:, k] == self.all.start).all()]
         self.resets = np.isin(self.all.cls, resets)
@@ -237,25 +240,43 @@ class Scanner:
         starts = np.unique(np.concatenate([[0], cut[np.minimum(np.searchsorted(cut, want), len(cut) - 1)]]))
         starts = starts[starts < n]
         lens = np.diff(np.append(starts, n))
-        order = np.argsort(-lens, kind="stable")
-        starts, lens = starts[order], lens[order]
-        active = np.searchsorted(-lens, -np.arange(lens[0]), side="left")
+        # lanes without such a byte are cut anywhere; the states in which they begin are guessed and put right
+        many = -(-lens // (4 * LANE))
+        turn = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        starts = np.repeat(starts, many) + turn * 4 * LANE
+        lens = np.diff(np.append(starts, n))
         codes = a.cls.astype(np.uint8)[data]
-        state = np.full(len(starts), a.start, np.int32)
-        at, hits = starts.copy(), []
+        first = np.full(len(starts), a.start, np.int32)
+        last = np.empty(len(starts), np.int32)
+        todo = np.arange(len(starts))
+        lane, pos, mask = (np.zeros(0, np.int64) for _ in range(3))
+        while len(todo):
+            last[todo], *found = self._walk(codes, starts[todo], lens[todo], first[todo])
+            old = ~np.isin(lane, todo)
+            lane, pos, mask = (np.concatenate([x[old], y]) for x, y in zip((lane, pos, mask), (todo[found[0]], *found[1:]), strict=True))
+            after = todo[todo + 1 < len(starts)] + 1
+            todo = after[(turn[after] > 0) & (first[after] != last[after - 1])]
+            first[todo] = last[todo - 1]
+        by = np.argsort(pos, kind="stable")
+        return pos[by], mask[by]
+
+    def _walk(self, codes: np.ndarray, starts: np.ndarray, lens: np.ndarray, state: np.ndarray) -> list[np.ndarray]:
+        """The state after each lane, and lane, end and rule mask of all that is accepted, in one pass over the lanes."""
+        a, none = self.all, np.zeros(0, np.int64)
+        hits = [(none, none, none)]
+        order = np.argsort(-lens, kind="stable")
+        at, lens, state = starts[order], lens[order], state[order]
         has = a.accepts != 0
-        for k in active.tolist():
+        for k in np.searchsorted(-lens, -np.arange(lens[0]), side="left").tolist():
             s = a.next.take(state[:k] * a.classes + codes.take(at[:k]))
             state[:k] = s
             at[:k] += 1
             good = np.flatnonzero(has.take(s))
             if len(good):
-                hits.append((at[good], a.accepts[s[good]]))
-        if not hits:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        pos, mask = (np.concatenate(x) for x in zip(*hits, strict=True))
-        by = np.argsort(pos, kind="stable")
-        return pos[by], mask[by]
+                hits.append((order[good], at[good], a.accepts[s[good]]))
+        out = np.empty(len(order), np.int32)
+        out[order] = state
+        return [out, *(np.concatenate(x) for x in zip(*hits, strict=True))]
 
     def first_start(self, rule: int, data: bytes, end: int, low: int) -> int:
         """Leftmost start of a match that ends at end and starts at low or later; -1 if none."""
@@ -269,6 +290,16 @@ class Scanner:
                 break
         return found
 
+    def next_end(self, rule: int, data: bytes, low: int, high: int) -> int:
+        """First end of a match that starts at low or later; beyond high if none."""
+        a = self.alone[rule]
+        s, cls, nxt, k = a.start, a.cls, a.next, a.classes
+        for i in range(low, high):
+            s = nxt[s * k + cls[data[i]]]
+            if a.accepts[s]:
+                return i + 1
+        return high + 1
+
     def last_end(self, rule: int, data: bytes, start: int, high: int) -> int:
         a, found = self.ahead[rule], -1
         s, cls, nxt, k = a.start, a.cls, a.next, a.classes
@@ -287,13 +318,15 @@ class Scanner:
         out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
         pos, mask = self.events(np.frombuffer(joined, np.uint8))
         reached = [0] * len(self.rules)
+        wait = [0] * len(self.rules)
         for doc, e, m in zip(np.searchsorted(ends, pos).tolist(), pos.tolist(), mask.tolist(), strict=True):
             begin = int(ends[doc - 1]) + 1 if doc else 0
             for r in range(len(self.rules)):
-                if not m >> r & 1 or e <= reached[r]:
+                if not m >> r & 1 or e <= reached[r] or e < wait[r]:
                     continue
                 start = self.first_start(r, joined, e, max(begin, reached[r]))
-                if start < 0:
+                if start < 0:  # what ends here began in the match before
+                    wait[r] = self.next_end(r, joined, max(begin, reached[r]), int(ends[doc]))
                     continue
                 stop = self.last_end(r, joined, start, int(ends[doc]))
                 reached[r] = stop

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from studyforge.llm.secrets import RULES, Scanner, secret_report
 
@@ -28,6 +29,18 @@ def test_scanner_equals_regexes():
         assert plain == brute(text), text
 
 
+def test_long_lines_without_resets():
+    rng = random.Random(6)
+    scanner = Scanner()
+    parts = [p for p in PARTS if not scanner.resets[list(p.encode())].any()] + ["z" * 5_000, "0123456789abcdef" * 400, "AKIA" + "B" * 9_000, "eyJ" + "a" * 5_000 + "."]
+    texts = ["".join(rng.choice(parts) for _ in range(80)) for _ in range(6)]
+    for text, got in zip(texts, scanner.scan([t.encode() for t in texts]), strict=True):
+        assert got == brute(text)
+    began = time.time()
+    assert scanner.scan([b"z" * 2_000_000 + b"token=abcdefghi"]) == [[(2_000_000, 0, 2_000_015)]]
+    assert time.time() - began < 10
+
+
 def test_dropped_match_is_consumed():
     assert Scanner().scan([b"token:api_key = abcdefghij"]) == [[]]
 
