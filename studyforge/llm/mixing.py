@@ -4,10 +4,11 @@ A source's documents are to be taken target / source_size times each: the whole
 certain, the fraction is a copy probability. Two fractional documents at a time trade word
 mass, at random but with unchanged expectations, until one of them is 0 or 1, so the words
 taken stay what they were. Long documents go first, so that what is left over at the end is
-mostly part of a short one; it is rounded to the nearer side and shorter documents that meet
-it at the top of the tree take the difference. Leaves
+mostly part of a short one; a long one that is left is made whole by shorter ones of its leaf,
+which take the difference and leave a short one open. Leaves
 (source, hash of doc_id) round on their own; each sends its one fractional document up a
-reduction tree that merges sixteen leaves at a time, down to one per source.
+reduction tree that merges sixteen leaves at a time, down to one per source, where the last
+one is rounded to the nearer side and shorter documents at hand take the difference.
 
 All randomness is a hash of the seed and the pair's doc_ids, and leaves depend on the data
 only, so reruns agree. Defined results: null text has size 0; documents without words are
@@ -81,6 +82,31 @@ def pivot(ids: list, sizes: list[int], probs: list[float], seed: int) -> list[fl
     return p
 
 
+def hand_down(sizes: list[int], probs: list[float], rounded: list[float], chance: float) -> list[float]:
+    """Make the open document whole, if shorter ones can take the difference; one of these stays open instead.
+
+    sum(size * prob) is kept. The document is taken with the chance that it has left.
+    """
+    open_ = [i for i, x in enumerate(rounded) if 0 < x < 1]
+    if len(open_) != 1:
+        return rounded
+    i, p, holder = open_[0], list(rounded), None
+    p[i] = float(chance < rounded[i])
+    extra = sizes[i] * (p[i] - rounded[i])
+    others = (j for j in range(len(p)) if 0 < probs[j] < 1 and 0 < sizes[j] < sizes[i] and rounded[j] == (extra > 0))
+    for j in sorted(others, key=lambda j: -sizes[j]):
+        if sizes[j] > abs(extra):
+            holder = j
+        else:
+            p[j] = 1.0 - p[j]
+            extra -= sizes[j] if extra > 0 else -sizes[j]
+    if abs(extra) > 1e-6:
+        if holder is None:
+            return rounded
+        p[holder] -= extra / sizes[holder]
+    return p
+
+
 def settle(sizes: list[int], probs: list[float], rounded: list[float]) -> list[float]:
     """Round what is still open to the nearer side and return its words, largest first, through other documents at hand."""
     p = [float(round(x)) for x in rounded]
@@ -100,6 +126,8 @@ def _round_leaf(seed: int, last: bool):
         pdf = pdf.sort_values(["size", "doc_id", "row"], ascending=[False, True, True], na_position="last", kind="stable").reset_index(drop=True)
         ids, sizes = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]], pdf["size"].astype(int).tolist()
         p = pivot(ids, sizes, pdf["prob"].tolist(), seed)
+        # a long document that short ones could not fill would be rounded alone at the top
+        p = hand_down(sizes, pdf["prob"].tolist(), p, _chance(seed, "down", *ids[:1], len(ids)))
         if last:  # the document that no other can trade with goes to the nearer side
             p = settle(sizes, pdf["prob"].tolist(), p)
         pdf["prob"] = p
