@@ -1,13 +1,15 @@
 """Merkle-tree fingerprints of documents, sections and paragraphs.
 
 A text is cut into paragraphs at newlines and these into leaves of at most 32 characters
-that end at a space or sentence end. A paragraph's hash is made from its leaves' hashes, a
-section's from its paragraphs', the root's from its sections'. A section ends after a
+that end at a space or sentence end. A paragraph's hash is made from its leaves' 64-bit hashes,
+a section's from its paragraphs', the root's from its sections'. A section ends after a
 paragraph whose hash is 0 mod 4, so an edit moves no later section's borders. Equal texts
 have equal roots; from unequal roots, unequal branches lead to the edited leaves.
 
-A fingerprint is written root|section:paragraph=leaf.leaf;paragraph=...|section:...; the
-likeness of two is 2 * common leaves / all leaves, counted with repeats.
+A fingerprint is written root|section:paragraph=leaf.leaf;paragraph=...|section:..., with the
+first half of each leaf's hash; the likeness of two is 2 * common leaves / all leaves, counted
+with repeats. It is 1 for equal roots alone: where the same leaves stand in another order, it
+is 1 - 1 / (1 + all leaves).
 
 Defined results: null text counts as empty, whose fingerprint has no section; two empty
 texts are alike to 1.0; documents with equal doc_id are ordered by text; the document after
@@ -20,7 +22,6 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -48,9 +49,9 @@ class Tree:
         self.sections: list[tuple[str, list[tuple[str, list[str]]]]] = []
         open_: list[tuple[str, list[str]]] = []
         for line in text.split("\n") if text else []:
-            leaves = ["%08x" % crc32(x) for x in map(str.encode, LEAF.findall(line))]
-            h = _digest(line.encode("utf-8", "surrogatepass"), 8)
-            open_.append((h, leaves))
+            full = [_digest(x.encode("utf-8", "surrogatepass"), 8) for x in LEAF.findall(line)]
+            h = _digest("".join(full).encode(), 8)
+            open_.append((h, [x[:8] for x in full]))
             if int(h[:2], 16) % 4 == 0:
                 self._close(open_)
                 open_ = []
@@ -90,7 +91,8 @@ def likeness(a: Tree, b: Tree, la: Counter, lb: Counter) -> float:
     if a.root == b.root:
         return 1.0
     total = sum(la.values()) + sum(lb.values())
-    return 2.0 * sum((la & lb).values()) / total if total else 0.0
+    # leaves in another order are no equal texts
+    return min(2.0 * sum((la & lb).values()) / total, 1.0 - 1.0 / (1 + total)) if total else 0.0
 
 
 def fingerprint_texts(docs: DataFrame) -> DataFrame:
