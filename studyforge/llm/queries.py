@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from .byte_bpe import round_trip
 from .common import table, tokenizer_path
 from .exact_dedup import exact_groups
 from .fingerprints import compare_with_next
 from .html_text import main_text
 from .jaccard_join import similarity_classes
 from .language_id import language_of
+from .merkle_manifest import verify_tampered
 from .mixing import mix
 from .packing import pack
 from .quality import quality_scores
 from .secrets import secret_report
 from .sharding import shard_documents
+from .whitening import whiten
 
 OP8_SQL = r"""
 WITH t AS (
@@ -78,6 +83,24 @@ def op10_language_id(spark, sf_dir):
     return language_of(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark, sf_dir):
+    """Byte-level BPE ids of all of `documents`, and the bytes decoded from them."""
+    import public_tokenizers
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op12_whitening(spark, sf_dir):
+    """First four whitened components of all of `embeddings`."""
+    whole = whiten(table(spark, sf_dir, "embeddings"))
+    return whole.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    """Manifest of all of `documents`: proofs, and rows that no longer fold to the root once tampered with."""
+    return verify_tampered(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of corpus_pipeline.py over `documents`."""
     import corpus_pipeline
@@ -98,6 +121,9 @@ def queries():
         "op8_exact_dedup": op8_exact_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_language_id": op10_language_id,
+        "op11_byte_bpe": op11_byte_bpe,
+        "op12_whitening": op12_whitening,
+        "op13_merkle_manifest": op13_merkle_manifest,
     }
 
 
