@@ -134,10 +134,11 @@ class Codec:
     def encode(self, text: str) -> bytes:
         out = []
         for part in self.parts(text):
-            fresh = self.learn({*part} - self.known.keys())
+            seen = {*part}
+            fresh = self.learn({p for p in seen if p not in self.known})
             long = {p: ids for p, ids in fresh.items() if len(p) > LONGEST}
             if len(self.known) + len(fresh) > KEPT:
-                fresh |= {p: self.known[p] for p in {*part} & self.known.keys()}
+                fresh |= {p: self.known[p] for p in seen if p in self.known}
                 self.known.clear()
             self.known |= fresh
             out.append(b"".join(map(self.known.__getitem__, part)))
