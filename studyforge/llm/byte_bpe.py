@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import arrow_map, slices
 
 #: Pre-tokens that a worker process remembers, and the longest of them in characters.
-KEPT, LONGEST = 400_000, 64
+KEPT, LONGEST = 800_000, 64
+#: Bytes of texts whose pre-tokens are encoded together.
+TOGETHER = 2_000_000
 #: Texts of more characters are split into pre-tokens by stretches of so many.
 LONG_TEXT, STRETCH = 1_000_000, 100_000
 
@@ -123,28 +125,34 @@ class Codec:
             out[p] = self.ids[found].tobytes()
         return out
 
-    def parts(self, text: str) -> Iterator[list[str]]:
-        if len(text) <= LONG_TEXT:
-            yield self.split.findall(text)
-            return
+    def stretches(self, text: str) -> Iterator[list[str]]:
         found = (m.group() for m in self.split.finditer(text))
         while some := list(islice(found, STRETCH)):
             yield some
 
-    def encode(self, text: str) -> bytes:
-        out = []
-        for part in self.parts(text):
-            seen = {*part}
-            fresh = self.learn({p for p in seen if p not in self.known})
-            long = {p: ids for p, ids in fresh.items() if len(p) > LONGEST}
-            if len(self.known) + len(fresh) > KEPT:
-                fresh |= {p: self.known[p] for p in seen if p in self.known}
-                self.known.clear()
-            self.known |= fresh
-            out.append(b"".join(map(self.known.__getitem__, part)))
-            for p in long:
+    def ids_of(self, parts: list[list[str]]) -> list[bytes]:
+        """Id bytes of lists of pre-tokens; those not known yet are encoded together."""
+        seen = set().union(*parts)
+        fresh = self.learn({p for p in seen if p not in self.known})
+        if len(self.known) + len(fresh) > KEPT:
+            fresh |= {p: self.known[p] for p in seen if p in self.known}
+            self.known.clear()
+        self.known |= fresh
+        out = [b"".join(map(self.known.__getitem__, part)) for part in parts]
+        for p in fresh:
+            if len(p) > LONGEST:
                 del self.known[p]
-        return b"".join(out)
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Id bytes of each text; long texts go by themselves, in stretches."""
+        out = [b""] * len(texts)
+        short = [i for i, t in enumerate(texts) if len(t) <= LONG_TEXT]
+        for i, ids in zip(short, self.ids_of([self.split.findall(texts[i]) for i in short]), strict=True):
+            out[i] = ids
+        for i in {*range(len(texts))} - {*short}:
+            out[i] = b"".join(self.ids_of([part])[0] for part in self.stretches(texts[i]))
+        return out
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -174,8 +182,8 @@ def encode_texts(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     def run(batches):
         codec = _codec(model, numbers, pattern)
         for whole in batches:
-            for b in slices(whole, "text"):
-                ids = [codec.encode(t or "") for t in b.column(1).to_pylist()]
+            for b in slices(whole, "text", TOGETHER):
+                ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
                 yield {"doc_id": b.column(0), "n_tokens": [len(x) // 4 for x in ids], "ids": pa.array(ids, pa.binary())}
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
