@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import PUNCTUATION
+
 
 def longest_common(a: str, b: str) -> int:
     """Length of the longest substring of a that b has; grows a window, so b is searched at most 2 * len(a) times."""
@@ -17,8 +21,36 @@ def longest_common(a: str, b: str) -> int:
     return best
 
 
+#: Connectives that runs are compared without, and punctuation that goes with white space.
+CONNECTIVES = re.compile("[和与及或、，,·的]")
+MARKS = re.compile(PUNCTUATION)
+
+
+def span_key(s: str | None) -> str:
+    """The characters of a text that carry meaning."""
+    return CONNECTIVES.sub("", "".join(MARKS.sub("", s or "").split()))
+
+
+def fit(needle: str | None, hay: str | None) -> float:
+    a, b = span_key(needle), span_key(hay)
+    if not a or not b:
+        return 0.0
+    best = longest_common(a, b)
+    if best < 2:  # no run to speak of: whole words, numbers and fours of the answer
+        for run in re.findall(r"[\u4e00-\u9fff]+|[A-Za-z]+|\d+(?:\.\d+)?", needle):
+            pieces = [run[i : i + 4] for i in range(0, len(run), 4)] if "\u4e00" <= run[0] <= "\u9fff" else [run]
+            best = max([best, *(len(p) for p in pieces if len(p) >= 2 and p in b)])
+    return min(1.0, best / len(a))
+
+
 def _fit(needle: pd.Series, hay: pd.Series) -> pd.Series:
-    return pd.Series([longest_common(a, b or "") / len(a) if a else 0.0 for a, b in zip(needle, hay, strict=True)], dtype="float64")
+    return pd.Series([fit(a, b) for a, b in zip(needle, hay, strict=True)], dtype="float64")
+
+
+def han_run(a: str | None, b: str | None) -> int:
+    """Longest shared run of Han characters."""
+    other = re.findall(r"[\u4e00-\u9fff]+", b or "")
+    return max((longest_common(x, y) for x in re.findall(r"[\u4e00-\u9fff]+", a or "") for y in other), default=0)
 
 
 def _run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -36,7 +68,7 @@ def _cover(option: pd.Series, hay: pd.Series) -> pd.Series:
 
 
 def span_fit(needle: Column, hay: Column) -> Column:
-    """Longest run of the needle in hay over the needle's length; 0 for an empty needle."""
+    """Longest run of the needle in hay over the needle's length, both without connectives, punctuation and white space; 0 for an empty needle."""
     return F.pandas_udf(_fit, "double")(needle, hay)
 
 

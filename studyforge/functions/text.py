@@ -69,6 +69,11 @@ def squeeze(c: Column) -> Column:
     return F.regexp_replace(text(c), r"[\s\x{3000}]+", "")
 
 
+def trim(c: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text(c), r"^[\s\x{a0}\x{3000}]+|[\s\x{a0}\x{3000}]+$", "")
+
+
 def clean(c: Column) -> Column:
     """Control characters go, no-break spaces become spaces, runs of white space one space."""
     s = F.translate(F.regexp_replace(text(c), r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}]", ""), " ", " ")
@@ -77,7 +82,7 @@ def clean(c: Column) -> Column:
 
 def sentences(c: Column, ends: str = ENDS_CJK) -> Column:
     """Sentences that keep their end marks; empty ones go."""
-    return F.filter(F.transform(F.split(text(c), f"(?<=[{ends}])"), lambda x: F.trim(x)), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(text(c), f"(?<=[{ends}])"), trim), lambda s: F.length(s) > 0)
 
 
 def trim_sentence(c: Column, most: int = 120, marks: str = "；，、", end: str = "。") -> Column:
@@ -101,15 +106,46 @@ def words(c: Column, least: int = 1, letters: str = LETTERS) -> Column:
     return F.regexp_extract_all(F.lower(text(c)), F.lit(f"([{letters}]{{{least},}})"))
 
 
-def keywords(c: Column, letters: str = LETTERS, longest: int = 4) -> Column:
-    """Distinct words; longer ones than `longest` also give their sliding 4-, 3- and 2-grams."""
-    w = words(c, 2, letters)
-    return F.array_distinct(F.flatten(F.transform(w, lambda x: F.when(F.length(x) <= longest, F.array(x)).otherwise(F.concat(*[grams(x, n) for n in (4, 3, 2)])))))
+#: Runs of one script: Han characters, Latin words, numbers.
+RUNS = r"([\x{4e00}-\x{9fff}]+|[A-Za-z]%s|\d+(?:\.\d+)?)"
+HAN = r"^[\x{4e00}-\x{9fff}]"
+
+
+def keywords(c: Column, longest: int = 4) -> Column:
+    """Distinct search words in order: Latin words and numbers whole; Han runs of two characters or more, long ones as their sliding 4-, 3- and 2-grams."""
+    runs = F.regexp_extract_all(text(c), F.lit(RUNS % "{2,}"))
+    cut = F.transform(runs, lambda x: F.when(~x.rlike(HAN), F.array(x)).when(F.length(x) <= longest, F.filter(F.array(x), lambda y: F.length(y) >= 2)).otherwise(F.concat(*[grams(x, n) for n in (4, 3, 2)])))
+    return F.array_distinct(F.flatten(cut))
 
 
 def atoms(c: Column) -> Column:
-    """Pieces of four characters; a remainder of one is a piece of its own."""
-    return F.when(F.length(c) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)), F.lit(4)), lambda i: c.substr(i, F.lit(4))))
+    """Pieces of an answer: Latin words and numbers whole, Han runs in fours with what is left."""
+    runs = F.regexp_extract_all(text(c), F.lit(RUNS % "+"))
+    return F.flatten(F.transform(runs, lambda x: F.when(~x.rlike(HAN), F.array(x)).otherwise(F.transform(F.sequence(F.lit(1), F.length(x), F.lit(4)), lambda i: x.substr(i, F.lit(4))))))
+
+
+def neighbours(w: Column) -> Column:
+    """Distinct pairs of neighbouring words."""
+    n = F.size(w)
+    return F.when(n < 2, F.array().cast("array<string>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))))
+
+
+def clip(c: Column, required: Column, most: int = 160) -> Column:
+    """About `most` characters around the required part: a third before it, two thirds after; the beginning where it is not found."""
+    at = F.instr(c, required) - 1
+    at = F.when(at < 0, F.instr(squeeze(c), squeeze(required)) - 1).otherwise(at)
+    start = F.greatest(at - most // 3, F.lit(0))
+    end = F.least(F.length(c), at + F.length(required) + most * 2 // 3)
+    dots = lambda cond: F.when(cond, "…").otherwise("")
+    around = F.concat(dots(start > 0), trim(c.substr(start + 1, end - start)), dots(end < F.length(c)))
+    return F.when(at < 0, F.concat(F.substring(c, 1, most), dots(F.length(c) > most))).otherwise(around)
+
+
+def pick_sentence(c: Column, required: Column, most: int = 160) -> Column:
+    """The first part, up to a stop or semicolon, that has the required text, white space apart; clipped if it is long or there is none."""
+    need = squeeze(required)
+    part = F.get(F.filter(F.split(c, "(?<=[。！？；])"), lambda p: (F.length(need) > 0) & F.contains(squeeze(p), need)), 0)
+    return F.when(part.isNull(), clip(c, required, most)).when(F.length(trim(part)) <= most, trim(part)).otherwise(clip(trim(part), required, most))
 
 
 def coverage(needle: Column, hay: Column) -> Column:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.spans import span_fit
 from ..functions.text import gram_weight, norm_gram, squeeze, words
 
 POWER = 1.6
@@ -60,51 +59,6 @@ def weighted_coverage(queries: DataFrame, postings_: DataFrame, weights_: DataFr
     return out.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.col("cover").desc(), "unit"))).where(F.col("place") <= most)
 
 
-def _pool(general: str | None):
-    """Place of a unit's chapter (own) for a query's (chapter): its own, the general one, all others; a query without chapter has one pool."""
-    place = F.when(F.col("chapter").isNull(), 0).when(F.col("own") == F.col("chapter"), 0)
-    return (place if general is None else place.when(F.col("own") == general, 1)).otherwise(2)
-
-
-def rank(queries: DataFrame, units: DataFrame, least_cover: float = 0.45, least_fit: float = 0.5, tokens=word_grams, general: str | None = None) -> DataFrame:
-    """query, unit, fit, cover, score: the best unit for each query (query, text, answer, chapter).
-
-    Every unit that shares a gram is tested (one that shares none covers nothing). Pools by
-    priority: the query's own chapter, then the general one, then all; the first pool with an
-    accepted unit wins. Short answers weigh the literal fit more.
-    """
-    # grams of no query weigh nothing here
-    p = postings(units, tokens).join(queries.select(F.explode(tokens(F.col("text"))).alias("gram")).distinct(), "gram", "left_semi")
-    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("gram")).join(weights(p, units).select("gram", "weight"), "gram", "left").withColumn("weight", F.coalesce("weight", F.lit(MISSING)))
-    whole = q.groupBy("query").agg(F.sum("weight").alias("whole"), F.count(F.lit(1)).alias("grams"))
-    have = q.join(p, "gram").groupBy("query", "unit").agg(F.sum("weight").alias("have"), F.count(F.lit(1)).alias("hits"))
-    c = have.join(whole, "query").withColumn("cover", F.round(F.col("have") / F.col("whole"), 9)).where(F.col("cover") >= least_cover)
-    full = c.join(queries, "query").join(units.select("unit", F.col("chapter").alias("own"), "sentence"), "unit")
-    fitted = full.withColumn("fit", span_fit(squeeze(F.col("answer")), squeeze(F.col("sentence"))))
-    short = F.length(squeeze(F.col("answer"))) <= 6
-    share = F.col("hits") / F.col("grams")
-    score = F.when(short, 0.50 * F.col("fit") + 0.22 * F.col("cover") + 0.28 * share).otherwise(0.38 * F.col("fit") + 0.36 * F.col("cover") + 0.26 * share)
-    good = fitted.where(F.col("fit") >= least_fit).withColumn("score", F.round(score, 6))
-    first = F.row_number().over(W.partitionBy("query").orderBy(_pool(general), F.col("score").desc(), "unit"))
-    return good.withColumn("_t", first).where("_t = 1").select("query", "unit", "fit", "cover", "score")
-
-
-def related(queries: DataFrame, units: DataFrame, threshold: float = 0.45, tokens=word_grams) -> DataFrame:
-    """query, unit, score: the best unit by keyword coverage, gram likeness and chapter, above a threshold.
-
-    Every unit that shares a gram is scored; the chapter alone gives 0.1, below any threshold of use.
-    """
-    from ..functions.text import stem_score
-
-    q = queries.select("query", "chapter", F.array_distinct(tokens(F.col("text"))).alias("a"))
-    u = units.select("unit", F.col("chapter").alias("own"), F.size(F.array_distinct(tokens(F.col("sentence")))).alias("size"))
-    hits = q.select("query", F.explode("a").alias("gram")).join(postings(units, tokens), "gram").groupBy("query", "unit").agg(F.count(F.lit(1)).alias("hits"))
-    c = hits.join(q.select("query", "chapter", F.size("a").alias("grams")), "query").join(u, "unit")
-    score = stem_score(F.col("hits") / F.col("grams"), F.col("hits") / (F.col("grams") + F.col("size") - F.col("hits")), F.col("own").eqNullSafe(F.col("chapter")))
-    scored = c.withColumn("score", F.round(score, 6)).where(F.col("score") >= threshold)
-    return scored.withColumn("_t", F.row_number().over(W.partitionBy("query").orderBy(F.col("score").desc(), "unit"))).where("_t = 1").select("query", "unit", "score")
-
-
 def screen(evidence: DataFrame, least_run: int = 4, least_cover: float = 0.55) -> DataFrame:
     """evidence (query, answer, sentence) with keep: a shared run or character coverage that is large enough."""
     from ..functions.spans import longest_run

@@ -126,31 +126,6 @@ def retrieve_ranked(spark, sf):
     return retrieval.weighted_coverage(_queries(spark, sf), p, retrieval.weights(p, u), 10).withColumn("cover", F.round("cover", 6))
 
 
-def _questions(spark, sf):
-    """Benchmark items with their whole text as answer, dealt over the chapters."""
-    names = _docs(spark, sf).agg(F.array_sort(F.collect_set("source")).alias("names"))
-    q = _queries(spark, sf).join(F.broadcast(names))
-    return q.select("query", "text", F.col("text").alias("answer"), F.get("names", F.pmod("query", F.greatest(F.size("names"), F.lit(1))).cast("int")).alias("chapter"))
-
-
-@register("evidence_best")
-def evidence_best(spark, sf):
-    """The best unit for each benchmark item, its chapter's first."""
-    return retrieval.rank(_questions(spark, sf), _units(spark, sf))
-
-
-@register("evidence_related")
-def evidence_related(spark, sf):
-    return retrieval.related(_questions(spark, sf), _units(spark, sf), 0.3)
-
-
-@register("evidence_screen")
-def evidence_screen(spark, sf):
-    q = _questions(spark, sf)
-    best = retrieval.rank(q, _units(spark, sf)).join(q, "query").join(_units(spark, sf).select("unit", "sentence"), "unit")
-    return retrieval.screen(best.select("query", "answer", "sentence")).select("query", "run", F.round("cover", 6).alias("cover"), "keep")
-
-
 @register(
     "first_matches",
     f"""WITH {GRAMS}, t AS (SELECT item_id AS query, split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) AS term FROM benchmark),
