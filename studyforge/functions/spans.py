@@ -57,14 +57,28 @@ def _run(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([longest_common(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype="int32")
 
 
-def _cover(option: pd.Series, hay: pd.Series) -> pd.Series:
-    def one(a, b):
-        if not a or not b:
-            return 0.0
+#: Numerals before a unit of counting, and marks in their narrow form.
+NUMERALS = dict(zip("一二两三四五六七八九十", ["1", "2", "2", "3", "4", "5", "6", "7", "8", "9", "10"], strict=True))
+COUNTED = re.compile("([一二两三四五六七八九十])(?=[个名位条项次大战区军年代月日篇章门类种点])")
+NARROW_MARKS = str.maketrans("（），。", "(),.")
+
+
+def audit_text(s: str | None) -> str:
+    """Text without control characters and white space, with narrow marks and counted numerals as digits."""
+    t = "".join(c for c in s or "" if c >= " ").translate(NARROW_MARKS)
+    return COUNTED.sub(lambda m: NUMERALS[m[1]], "".join(t.split()))
+
+
+def cover(option: str | None, hay: str | None) -> float:
+    a, b = audit_text(option), audit_text(hay)
+    if len(a) >= 3:
         n = longest_common(a, b)
-        return float(a in b) if len(a) < 3 else n / len(a) if n >= 3 else 0.0
+        return n / len(a) if n >= 3 else 0.0
+    return float(bool(a) and re.search(rf"(?<![0-9A-Za-z]){re.escape(a)}(?![0-9A-Za-z])", b) is not None)
+
 
-    return pd.Series([one(a, b) for a, b in zip(option, hay, strict=True)], dtype="float64")
+def _cover(option: pd.Series, hay: pd.Series) -> pd.Series:
+    return pd.Series([cover(a, b) for a, b in zip(option, hay, strict=True)], dtype="float64")
 
 
 def span_fit(needle: Column, hay: Column) -> Column:
@@ -78,5 +92,5 @@ def longest_run(a: Column, b: Column) -> Column:
 
 
 def cover_score(option: Column, hay: Column) -> Column:
-    """span_fit of runs of three characters or more; shorter options count when they are there whole."""
+    """Longest run, of three characters at least, over the option's length; shorter options count when they stand there as a word."""
     return F.pandas_udf(_cover, "double")(option, hay)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import index as I
-from ..operators import ladder, terms
+from ..operators import contrast, ladder, relevance, terms
 from ..sources import bindings as B
 from . import corpus as C
 from .catalog import register
@@ -201,3 +201,133 @@ SELECT question, kind, {list(ladder.RUNGS)}[r + 1] AS rung, unit, CASE WHEN manu
 def explain_ladder(spark, sf):
     """The explanation of every benchmark question, by the strongest evidence that any unit gives it."""
     return ladder.explain(questions(spark, sf), _index(spark, sf), glue=" ")
+
+
+#: Benchmark items as questions whose evidence is chosen again.
+AGAIN = {
+    "question": "item_id",
+    "stem": f"{_part(1, 6)} || '____'",
+    "answer": f"CASE WHEN item_id % 5 = 2 THEN '' ELSE {_part(7, 8)} || '、' || {_part(9, 11)} END",
+    "reason": f"CASE item_id % 3 WHEN 0 THEN '旧的依据' WHEN 1 THEN ' ' END",
+}
+HOLD = "regexp_replace({}, '[^\\x{{4e00}}-\\x{{9fff}}0-9A-Za-z%]', '', 'g')"
+
+
+def _share(a, b):
+    return f"coalesce(len(list_intersect({a}, {b})) / nullif(len({a}), 0), 0.0)"
+
+
+COVER = f"""wg AS (SELECT DISTINCT key, text, unnest(list_concat({BASE.format("text")}, {PAIRS.format("text")})) AS gram FROM texts),
+ww AS MATERIALIZED (SELECT wg.*, coalesce(weight, 0.05) AS weight FROM wg LEFT JOIN w USING (gram)), whole AS (SELECT key, text, sum(weight) AS whole FROM ww GROUP BY key, text),
+cov AS MATERIALIZED (SELECT key, text, unit, round(have / whole, 9) AS cover FROM (SELECT key, text, unit, sum(weight) AS have FROM ww JOIN post USING (gram) GROUP BY key, text, unit) JOIN whole USING (key, text))"""
+
+
+@register(
+    "evidence_reselect",
+    f"""WITH {INDEX}, a0 AS (SELECT {_slices(", ".join(f"{_duck(e).replace('CUT(W, ', 'list_slice(W, ')} AS {c}" for c, e in AGAIN.items()))} FROM items),
+a AS MATERIALIZED (SELECT question, trim(regexp_replace(stem, '[_＿]{{2,}}', ' ', 'g')) AS stem, answer, coalesce(trim(reason), '') AS reason FROM a0),
+texts AS (SELECT question AS key, stem AS text FROM a UNION ALL SELECT question, answer FROM a WHERE answer <> ''), {COVER},
+pool AS (SELECT key, unit, row_number() OVER (PARTITION BY key ORDER BY cover DESC, unit) AS place FROM cov JOIN a ON key = question AND text = answer QUALIFY place <= 400),
+p AS (SELECT *, list_filter(list_transform(string_split_regex(answer, '[、，,；;和与及/]+'), lambda x: {HOLD.format("x")}), lambda x: length(x) >= 2) AS parts,
+  list_distinct(regexp_extract_all(stem, '([A-Za-z]{{2,}}|\\d+(?:\\.\\d+)?)')) AS words FROM a),
+p2 AS (SELECT *, list_filter(words, lambda t: length(t) >= 2) AS terms, coalesce(list_sort(list_transform(range(1, len(parts) + 1), lambda i: {{'n': -length(parts[i]), 'i': i, 'p': parts[i]}}))[1].p, {HOLD.format("answer")}) AS phrase,
+  list_filter(list_transform(list_filter(string_split_regex(answer, '[，。；、（）()：:？！]'), lambda x: length(trim(x)) >= 2), lambda x: {CHARS.format(HOLD.format("x"))}), lambda s: len(s) >= 2) AS sets, len(list_filter(string_split_regex(answer, '[，。；、（）()：:？！]'), lambda x: length(trim(x)) >= 2)) AS n_sets FROM p),
+n AS (SELECT p2.*, cov.unit, cov.cover, pool.place, sentence, {SQUEEZE.format("sentence")} AS sq, {CHARS.format(HOLD.format("sentence"))} AS chars,
+  list_transform(list_filter(string_split_regex(sentence, '[，。；、（）()：:？！]'), lambda x: length({SQUEEZE.format("x")}) >= 3), lambda x: {CHARS.format(HOLD.format("x"))}) AS clauses
+  FROM p2 JOIN cov ON key = question AND text = stem AND cover >= 0.2 JOIN u USING (unit) LEFT JOIN pool ON pool.key = question AND pool.unit = cov.unit),
+ok AS (SELECT *, terms[1:10] AS ten, len(list_filter(terms, lambda t: contains(sq, t))) AS hit, strpos(sq, phrase) AS spot FROM n WHERE NOT regexp_matches(sentence, '([^。？?]{{4,30}}[?？]){{2,}}|[?？]\\s*$')),
+ok2 AS (SELECT *, list_filter(ten, lambda t: contains(sq, t)) AS have, len(list_filter(ten, lambda t: contains(substr(sq, greatest(spot - 14, 1), spot + length(phrase) + 14 - greatest(spot - 14, 1)), t))) AS close,
+  coalesce(list_max(list_transform(parts, lambda x: {_share(CHARS.format("x"), "chars")})), 0) AS best_part, length(phrase) >= 2 AND {_share(CHARS.format("phrase"), "chars")} >= 0.8 AS literal FROM ok
+  WHERE (len(terms) = 0 OR (hit > 0 AND (hit / len(terms) >= 0.34 OR hit >= 2))) AND (n_sets = 0 OR len(list_filter(clauses, lambda c: len(list_filter(sets, lambda s: {_share("s", "c")} >= 0.6)) > 0)) > 0)),
+s AS (SELECT *, round((CASE WHEN answer = '' OR best_part > 0 THEN CASE WHEN answer = '' THEN 1 ELSE best_part END WHEN {HOLD.format("answer")} = '' THEN 1 ELSE {_share(CHARS.format(HOLD.format("answer")), "chars")} END) * 0.45 + CASE WHEN literal THEN 0.30 ELSE 0 END + cover * 0.25
+  + CASE WHEN regexp_matches(sentence, '{relevance.DEFINITION}') THEN 0.12 ELSE 0 END + 0.90 * CASE WHEN length(sq) = 0 OR phrase = '' THEN 0 WHEN spot = 0 THEN CASE WHEN len(have) > 0 THEN 0.4 ELSE 0 END WHEN close >= 2 THEN 1 WHEN close = 1 THEN 0.6 ELSE 0 END, 6) AS score FROM ok2 WHERE len(ten) = 0 OR len(have) > 0),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY question ORDER BY s.score DESC, CASE WHEN place IS NULL THEN 2 WHEN literal THEN 0 ELSE 1 END, place, unit) = 1)
+SELECT a.question, CASE WHEN b.score >= 0.62 THEN b.unit END AS unit, CASE WHEN b.score >= 0.62 THEN b.score END AS score,
+  CASE WHEN b.score >= 0.62 THEN CASE WHEN a.reason = '' THEN 'filled' ELSE 'replaced' END WHEN a.reason <> '' THEN 'dropped' ELSE 'none' END AS action FROM a LEFT JOIN b USING (question)""",
+)
+def evidence_reselect(spark, sf):
+    """The unit that each benchmark question's explanation is to rest on, by topic, answer and stem."""
+    q = B.table(spark, sf, "benchmark").withColumn("W", F.split("text", " ")).select(*[F.expr(e).alias(c) for c, e in AGAIN.items()])
+    return relevance.reselect(q, _index(spark, sf)).drop("new_reason")
+
+
+ASKED = {
+    "question": "item_id",
+    "kind": "CASE WHEN item_id % 6 = 5 THEN 'judge' ELSE 'single' END",
+    "stem": f"CASE WHEN item_id % 4 = 1 THEN '不属于' ELSE '' END || {_part(1, 5)}",
+    "options": f"ARR({_part(6, 7)}, {_part(8, 10)}, {_part(11, 11)}, {_part(18, 22)})",
+    "letters": "CASE item_id % 3 WHEN 0 THEN ARR('A') WHEN 1 THEN ARR('B', 'C') ELSE ARR('D') END",
+}
+AUDIT = "regexp_replace(regexp_replace(translate({}, '（），。', '(),.'), '[\\x{{0}}-\\x{{1f}}]', '', 'g'), '[\\s\\x{{3000}}]+', '', 'g')"
+
+
+@register(
+    "textbook_verdicts",
+    f"""WITH {INDEX}, a AS MATERIALIZED (SELECT {_slices(", ".join(f"{_duck(e).replace('CUT(W, ', 'list_slice(W, ')} AS {c}" for c, e in ASKED.items()))} FROM items),
+p1 AS (SELECT question, unit, row_number() OVER (PARTITION BY question ORDER BY count(*) DESC, unit) AS place FROM (SELECT question, unnest({BASE.format("stem")}) AS gram FROM a) JOIN post USING (gram) GROUP BY question, unit QUALIFY place <= 40),
+p2 AS (SELECT DISTINCT question, unit FROM (SELECT question, unnest({BASE.format("array_to_string(options, ' ')")}) AS gram FROM a) JOIN post USING (gram) ANTI JOIN p1 USING (question, unit)),
+pool AS (SELECT question, unit, row_number() OVER (PARTITION BY question ORDER BY list_no, unit) AS place FROM (SELECT question, unit, place AS list_no FROM p1 UNION ALL SELECT question, unit, 1000 FROM p2) QUALIFY place <= 80),
+o AS (SELECT question, i, options[i] AS option, list_contains(letters, chr(CAST(64 + i AS INTEGER))) AS ok FROM a, LATERAL (SELECT unnest(range(1, len(options) + 1)) AS i)),
+x AS (SELECT o.*, pool.unit, pool.place, doc_id % 2 = 0 AS main, {AUDIT.format("option")} AS a, {AUDIT.format("sentence")} AS b FROM o LEFT JOIN pool USING (question) LEFT JOIN (SELECT *, CAST(floor(unit / 100000) AS BIGINT) AS doc_id FROM u) USING (unit)),
+c AS (SELECT *, round(CASE WHEN a = '' THEN 0 WHEN length(a) < 3 THEN CASE WHEN regexp_matches(b, '(^|[^0-9A-Za-z])' || a || '($|[^0-9A-Za-z])') THEN 1 ELSE 0 END ELSE (CASE WHEN {LONGEST} >= 3 THEN {LONGEST} ELSE 0 END) / length(a) END, 3) AS score FROM x),
+m AS (SELECT question, i, ok, coalesce(max(score), 0.0) AS score, arg_max(main, {{'s': score, 'p': -place}}) AS main, count(unit) AS n FROM c GROUP BY question, i, ok),
+g AS (SELECT question, coalesce(min(score) FILTER (ok), 0.0) AS ans_min, round(coalesce(avg(score) FILTER (ok), 0.0), 6) AS ans_avg, coalesce(max(score) FILTER (NOT ok), 0.0) AS dis_max, coalesce(bool_or(score > 0 AND main) FILTER (ok), false) AS main, max(n) AS pool FROM m GROUP BY question)
+SELECT question, CASE WHEN pool = 0 OR (ans_avg = 0 AND dis_max = 0) THEN 'no_corpus_evidence' WHEN (kind <> 'judge' AND contains(stem, '不属于') AND ans_min >= 0.5) OR (dis_max >= 0.6 AND round(dis_max - ans_min, 6) >= 0.25) THEN 'suspect_answer'
+  WHEN NOT main AND ans_avg > 0 THEN 'consistent_secondary' ELSE 'consistent' END AS verdict, ans_min, ans_avg, dis_max, pool FROM g JOIN a USING (question)""",
+)
+def textbook_verdicts(spark, sf):
+    """Whether the corpus bears out the answer of each benchmark question; units of even documents are the first source."""
+    q = B.table(spark, sf, "benchmark").withColumn("W", F.split("text", " ")).select(*[F.expr(e.replace("ARR(", "array(")).alias(c) for c, e in ASKED.items()])
+    return relevance.verdicts(q, _index(spark, sf), F.floor(F.col("unit") / 100000) % 2 == 0)
+
+
+#: Scopes and the words around them in the test corpus.
+SCOPES_EN, OF_EN, WORD_EN, ENDS_EN = ["the", "that", "with", "from", "for"], "[a-z, ]{0,20}? (?:of|in|and) ", "([a-z]{2,12})", "(ing|ion|ent)$"
+
+
+@register(
+    "distractor_contrast",
+    f"""WITH {C.PIECES}, u AS (SELECT doc_id * 100000 + pos AS unit, sentence FROM units),
+m AS (SELECT unit, k, ms[k] AS m FROM (SELECT unit, regexp_extract_all(sentence, '({"|".join(SCOPES_EN)}){OF_EN}{WORD_EN}') AS ms FROM u), LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS k)),
+pairs AS MATERIALIZED (SELECT unit, concept, arg_min(scope, k) AS scope FROM (SELECT unit, k, regexp_extract(m, '({"|".join(SCOPES_EN)}){OF_EN}{WORD_EN}', 1) AS scope, regexp_extract(m, '({"|".join(SCOPES_EN)}){OF_EN}{WORD_EN}', 2) AS concept FROM m) GROUP BY unit, concept),
+a AS MATERIALIZED (SELECT item_id AS question, text AS stem, list_distinct(regexp_extract_all(text, '[a-z]{{2,12}}')) AS opts FROM benchmark),
+o AS MATERIALIZED (SELECT question, stem, k AS i, list_sort(opts)[k + 1] AS option, regexp_replace(list_sort(opts)[k + 1], '{ENDS_EN}', '') AS core, k % 4 = 0 AS ok FROM a, LATERAL (SELECT unnest(range(0, least(len(opts), 8))) AS k)),
+s AS (SELECT question, i, unit, arg_min(scope, r) AS scope FROM (SELECT question, i, unit, scope, 0 AS r FROM o JOIN pairs ON concept = option UNION ALL SELECT question, i, unit, scope, 1 FROM o JOIN pairs ON concept = core) GROUP BY question, i, unit),
+met AS (SELECT o.*, s.unit, s.scope, sentence FROM o JOIN s USING (question, i) JOIN u USING (unit) WHERE contains(sentence, option) OR contains(sentence, core)),
+b AS (SELECT w.question, w.i, w.unit, arg_min({{'o': t.option, 's': t.scope}}, t.i) AS r FROM met w JOIN met t ON w.question = t.question AND w.unit = t.unit AND NOT w.ok AND t.ok AND w.option <> t.option AND contains(t.sentence, t.option) AND w.scope <> t.scope GROUP BY w.question, w.i, w.unit),
+d AS (SELECT met.*, r FROM met LEFT JOIN b USING (question, i, unit) WHERE NOT ok AND (r IS NOT NULL OR NOT contains(stem, scope)) QUALIFY row_number() OVER (PARTITION BY question, i ORDER BY unit) = 1)
+SELECT o.question, CAST(o.i AS INTEGER) AS i, CASE WHEN d.unit IS NULL THEN 'pending' WHEN r IS NULL THEN 'scope' ELSE 'contrast' END AS kind, d.unit, d.scope, r.o AS right_option, r.s AS right_scope FROM o LEFT JOIN d USING (question, i) WHERE NOT o.ok""",
+)
+def distractor_contrast(spark, sf):
+    """What each wrong option of the benchmark questions belongs to, by scope pairs in the corpus."""
+    words = F.array_sort(F.array_distinct(F.regexp_extract_all("text", F.lit("([a-z]{2,12})"))))
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("question"), F.col("text").alias("stem"), F.slice(words, 1, 8).alias("options"))
+    every = F.array(*[F.lit(x) for x in "ABCDEFGH"])
+    q = q.withColumns({"letters": F.filter(every, lambda x: ((F.ascii(x) - 65) % 4 == 0) & (F.ascii(x) - 65 < F.size("options"))), "why": F.map_from_arrays(every, F.array_repeat(F.lit(contrast.TEMPLATES[0]), 8))})
+    return contrast.contrasts(q, C._units(spark, sf).select("unit", "sentence"), SCOPES_EN, contrast.TEMPLATES, ENDS_EN, OF_EN, WORD_EN).drop("text")
+
+
+@register(
+    "ordered_keys",
+    """WITH w AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), k AS (SELECT item_id * 1000 + i AS place, w[i] || ' ' || w[i + 1] AS term FROM w, LATERAL (SELECT unnest(range(1, len(w))) AS i)),
+t AS (SELECT term, min(place) AS place FROM k GROUP BY term) SELECT doc_id AS id, CAST(min(place) AS BIGINT) AS place FROM documents JOIN t ON contains(lower(text), term) GROUP BY doc_id""",
+)
+def ordered_keys(spark, sf):
+    """The first pair of words, in the order of all benchmark items, that each document contains."""
+    w = B.table(spark, sf, "benchmark").select("item_id", F.split(F.lower("text"), " ").alias("w"))
+    pairs = w.select("item_id", F.posexplode(F.slice("w", 1, F.size("w") - 1)).alias("i", "a"), "w")
+    keys = pairs.select((F.col("item_id") * 1000 + F.col("i") + 1).alias("place"), F.concat("a", F.lit(" "), F.get("w", F.col("i") + 1)).alias("term"))
+    return terms.first_key(B.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), keys, "doc_id", "text")
+
+
+@register(
+    "corpus_term_counts",
+    r"""WITH c AS (SELECT string_agg(lower(coalesce(text, '')), '' ORDER BY doc_id) AS t FROM documents), k AS (SELECT DISTINCT unnest(list_concat(regexp_extract_all(lower(text), '[\p{L}]{2,}'), regexp_extract_all(lower(text), '[\p{L}][.] ?[\p{L}]'))) AS term FROM benchmark)
+SELECT term, CAST((length(t) - length(replace(t, term, ''))) / length(term) AS BIGINT) AS n FROM k, c""",
+)
+def corpus_term_counts(spark, sf):
+    """Occurrences of every benchmark word in the documents written one after the other, across their borders too."""
+    low = F.lower("text")
+    words = F.concat(F.regexp_extract_all(low, F.lit(r"([\p{L}]{2,})")), F.regexp_extract_all(low, F.lit(r"([\p{L}][.] ?[\p{L}])")))
+    keys = B.table(spark, sf, "benchmark").select(F.explode(words).alias("term"))
+    return terms.whole_counts(B.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), keys, "doc_id", "text")
