@@ -5,17 +5,17 @@ against; a container is known by its path of tags and classes, with digits gener
 From the best one the path climbs as long as the parent adds text that is not mostly links,
 and up to the outermost article, so that titles, introductions, lists and tables beside the
 longest part stay with it. Pages vote for the paths they reach, Spark counts the votes by
-host, and every page is extracted again with the one of its host's winning paths that covers
-most of its text, or its own if the winners cover clearly less than that. What lies in a
+host, and every page is extracted again: what lies in any of its host's winning paths, or in its own,
+so that an article in several containers stays whole. What lies in a
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section is
-left out wherever it stands. A form, or an element that only its name marks, stays if most
-of the page's text outside links is in it, unless a fifth of that is in an article or main
-outside it; article and main are never left out for their names.
+left out wherever it stands and whatever its size. Such parts are told by their element or by the words of their class, id or role, in
+compounds too (comment-list, site-footer, adSlot); a named element that holds the title, main or an article is a wrapper and
+stays (one of comments only with a title or main), and a form also if most of the page's paragraphs are in it.
 
 A block's text is what lies between the borders of block elements, with character
 references decoded and white space turned into one space; br counts as white space. Defined
 results: null or empty html gives empty text; a null url is a host of its own; repeated
-rows vote and are extracted each; an empty table gives no rows.
+rows vote and are extracted each; an empty table gives no rows; html of any nesting takes time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -41,81 +41,126 @@ BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 pre hr address dt caption f
 ENDS_P = BLOCKS - {"td", "th", "tr", "tbody", "head", "option"}
 ALIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr", "td": "td th", "th": "td th", "option": "option"}
 NAMES = ("class", "id", "role")
-#: Elements, and words of class, id or role, whose contents are not the article.
+#: Elements whose contents are not the article.
 LEFT_OUT_TAGS = frozenset("head nav footer aside button select dialog menu".split()) | RAW
-LEFT_OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion menu nav navbar navigation breadcrumb breadcrumbs sidebar "
-    "footer masthead cookie cookies consent notice popup modal overlay newsletter subscribe signup login share sharing social related recommended "
-    "comment comments reply replies respond disqus discussion pagination pager toc widget complementary contentinfo search".split()
+#: Words of class, id or role. An element is furniture if a word of the first list stands anywhere in a
+#: name, one of the second at its beginning or end, one of the third at its end; names that begin with a word of the fourth tell a state.
+ANYWHERE = frozenset(
+    "comment comments commentlist commenter disqus sidebar sidebars footer masthead cookie cookies consent gdpr newsletter advert adverts advertisement advertising adsense "
+    "sponsor sponsored promo promotion breadcrumb breadcrumbs pagination popup modal overlay navbar subscribe subscription signup login recommended recommendations outbrain taboola contentinfo complementary".split()
 )
-WORD = re.compile(r"[a-z]+")
+AT_AN_END = frozenset("ad ads adv banner menu menus nav navigation notice notices share sharing social reply replies respond widget widgets toc pager toolbar".split())
+AT_THE_END = frozenset("related search".split())
+RELATED = frozenset("posts post articles article content contents links link stories story items news topics reading pages videos products".split())
+STATES = frozenset("has with no without is not".split())
+CLOSED = frozenset("open opened closed enabled disabled on off".split())
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 WINNERS = 5
 
 
-def _left_out(names: str) -> bool:
-    """Whether one of the names is made of LEFT_OUT_WORDS only, numbers and hyphens aside."""
-    return any((parts := WORD.findall(name)) and LEFT_OUT_WORDS.issuperset(parts) for name in names.split())
+def furniture(name: str) -> str:
+    """What a name (one class, id or role) makes of its element: "comment", "other" furniture, or nothing."""
+    words = [w.lower() for w in WORD.findall(name)]
+    if not words or words[0] in STATES or words[-1] in CLOSED:
+        return ""
+    if any(w.startswith("comment") for w in words):
+        return "comment"
+    if not ANYWHERE.isdisjoint(words) or words[0] in AT_AN_END or words[-1] in AT_AN_END | AT_THE_END:
+        return "other"
+    if words[0] == "related" and words[1] in RELATED or words[-1].endswith(("footer", "sidebar", "navbar")):
+        return "other"
+    return "other" if len(words) > 1 and words[-1] == "header" and words[0] in ("site", "page", "global", "top", "main") else ""
 
 
 class Page:
-    """Blocks of a page: (paths from the outermost container to the innermost, text, characters in links)."""
+    """Blocks of a page, each with the path of its innermost container; one pass, linear in the html whatever its nesting."""
 
     def __init__(self, html: str):
-        self.blocks: list[tuple[tuple[str, ...], str, int]] = []
-        self.stack: list[tuple[str, str, bool, tuple[str, ...], tuple[int, ...]]] = [("", "", False, ("",), ())]
-        #: For each block the forms and named elements around it, by number, and whether it is in an article.
-        self.around: list[tuple[tuple[int, ...], bool]] = []
-        self.named = 0
+        #: Paths as (parent, label of tag and classes); a path's parent has a smaller number.
+        self.paths: list[tuple[int, str]] = [(-1, "")]
+        self.known: dict[tuple[int, str], int] = {}
+        #: Forms and elements with furniture names: (parent, kind), whether a title or main, or an article, is in them, their text in paragraphs.
+        self.marks: list[tuple[int, str]] = [(-1, "")]
+        self.titled, self.storied, self.prose = [False], [False], [0]
+        #: Open elements: (tag, path, mark, left out).
+        self.stack: list[tuple[str, int, int, bool]] = [("", 0, 0, False)]
+        self.open: dict[str, int] = defaultdict(int)
+        self.found: list[tuple[int, int, str, int]] = []
         self.text: list[str] = []
         self.linked, self.in_link = 0, False
         self._read(html)
-        self._leave_out()
+        gone = self._dropped()
+        self.blocks = [(path, text, linked) for path, mark, text, linked in self.found if not gone[mark]]
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
-            if text and not self.stack[-1][2]:
-                titled = any(tag == "h1" for tag, *_ in self.stack)
-                self.blocks.append((self.stack[-1][3], text, 0 if titled else min(self.linked, len(text))))
-                self.around.append((self.stack[-1][4], any(tag in ("article", "main") for tag, *_ in self.stack)))
+            _, path, mark, out = self.stack[-1]
+            if text and not out:
+                self.found.append((path, mark, text, 0 if self.open["h1"] else min(self.linked, len(text))))
+                if self.open["p"]:
+                    self.prose[mark] += len(text)
             self.text = []
         self.linked = 0
 
     def _open(self, tag: str, attributes: str) -> None:
-        names = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() in NAMES} if attributes else {}
-        inside = any(t in ("article", "main") for t, *_ in self.stack)
-        out = self.stack[-1][2] or tag in LEFT_OUT_TAGS or (tag == "header" and not inside)
-        around = self.stack[-1][4]
-        if tag == "form" or (tag not in ("html", "body", "article", "main") and _left_out(" ".join(names.values()))):
-            self.named += 1
-            around = (*around, self.named)
-        paths = self.stack[-1][3]
-        path = self.stack[-1][1]
+        names = {k.lower(): (a or b or c) for k, a, b, c in ATTRIBUTE.findall(attributes) if k.lower() in NAMES} if attributes else {}
+        _, path, mark, out = self.stack[-1]
+        out = out or tag in LEFT_OUT_TAGS or (tag == "header" and not self.open["article"] and not self.open["main"])
+        kind = "form" if tag == "form" else ""
+        if names and tag not in ("html", "body", "main"):
+            kinds = {furniture(n) for value in names.values() for n in value.split()}
+            # an article is left out as a comment only
+            kind = "comment" if "comment" in kinds else kind or ("other" if "other" in kinds and tag != "article" else "")
+        if kind:
+            self.marks.append((mark, kind))
+            mark = len(self.marks) - 1
+            for flags in (self.titled, self.storied):
+                flags.append(False)
+            self.prose.append(0)
+        if tag in ("h1", "main"):
+            self._tell(self.titled, mark)
+        elif tag == "article" and kind != "comment":
+            self._tell(self.storied, mark)
         if tag in CONTAINERS:
-            cls = sorted(re.sub(r"\d+", "#", names.get("class", "")).split())
-            path = ">".join(filter(None, [path, ".".join([tag, *cls])]))
-            paths = (*paths, path)
-        self.stack.append((tag, path, out, paths, around))
-
-    def _leave_out(self) -> None:
-        """Drop the blocks in forms and named elements, but for elements that hold most of the page."""
-        if not self.named:
-            return
-        total, within, main, main_within = 0, defaultdict(int), 0, defaultdict(int)
-        for (_, text, linked), (around, inside) in zip(self.blocks, self.around, strict=True):
-            worth = len(text) - linked
-            total += worth
-            main += worth * inside
-            for k in around:
-                within[k] += worth
-                main_within[k] += worth * inside
-        stays = {k for k, worth in within.items() if 2 * worth > total and 5 * (main - main_within[k]) < total}
-        self.blocks = [block for block, (around, _) in zip(self.blocks, self.around, strict=True) if stays.issuperset(around)]
+            label = ".".join([tag, *sorted(re.sub(r"\d+", "#", names.get("class", "").lower()).split())])
+            key = (path, label)
+            if key not in self.known:
+                self.known[key] = len(self.paths)
+                self.paths.append(key)
+            path = self.known[key]
+        self.stack.append((tag, path, mark, out))
+        self.open[tag] += 1
+
+    def _tell(self, flags: list[bool], mark: int) -> None:
+        """Flag a mark and those around it; each is flagged once."""
+        while mark > 0 and not flags[mark]:
+            flags[mark] = True
+            mark = self.marks[mark][0]
+
+    def _dropped(self) -> list[bool]:
+        """Whether each mark is left out: those of furniture, unless they hold the title, main or (but for comments) an article; forms also stay if most paragraphs are in them."""
+        prose = list(self.prose)
+        for k in range(len(prose) - 1, 0, -1):
+            prose[self.marks[k][0]] += prose[k]
+        gone = [False] * len(self.marks)
+        for k in range(1, len(gone)):
+            around, kind = self.marks[k]
+            stays = self.titled[k] or (self.storied[k] and kind != "comment") or (kind == "form" and 2 * prose[k] > prose[0] > 0)
+            gone[k] = gone[around] or not stays
+        return gone
+
+    def _pop(self, k: int) -> None:
+        for tag, *_ in self.stack[k:]:
+            self.open[tag] -= 1
+        del self.stack[k:]
 
     def _close(self, tag: str) -> None:
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self._pop(k)
                 return
             if tag not in CONTAINERS and self.stack[k][0] in CONTAINERS:
                 return
@@ -160,9 +205,11 @@ class Page:
 
     def _close_alike(self, tag: str) -> None:
         """End an open element of this kind unless a list or table has been opened in it."""
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, 0, -1):
             if self.stack[k][0] == tag:
-                del self.stack[k:]
+                self._pop(k)
                 return
             if self.stack[k][0] in ("ul", "ol", "dl", "table"):
                 return
@@ -172,51 +219,62 @@ class Page:
         if self.in_link:
             self.linked += len(text)
 
-    def scores(self) -> dict[str, float]:
-        """Path to score: a block counts for its container, half for the next one out, and so on."""
-        out: dict[str, float] = defaultdict(float)
-        for paths, text, linked in self.blocks:
-            worth = max(0.0, len(text) - 2.0 * linked) + 1.0
-            for k, path in enumerate(reversed(paths)):
-                out[path] += worth * 0.5**k
-        return out
-
-    def covered(self) -> dict[str, tuple[int, int]]:
-        """Path to the characters of the blocks inside it: all of them, and less twice those in links."""
-        out: dict[str, tuple[int, int]] = {}
-        for paths, text, linked in self.blocks:
-            for path in paths:
-                size, net = out.get(path, (0, 0))
-                out[path] = size + len(text), net + len(text) - 2 * linked
-        return out
-
-    def best(self) -> str | None:
-        """From the path of the highest score outwards, while the parent adds text that is not mostly links."""
-        s = self.scores()
-        if not s:
+    def _sums(self) -> tuple[list[float], list[int], list[int]]:
+        """Of each path: score (a block counts for its container, half for the next one out, and so on), text inside, and that less twice what is in links."""
+        score, size, net = [0.0] * len(self.paths), [0] * len(self.paths), [0] * len(self.paths)
+        for path, text, linked in self.blocks:
+            score[path] += max(0.0, len(text) - 2.0 * linked) + 1.0
+            size[path] += len(text)
+            net[path] += len(text) - 2 * linked
+        for p in range(len(self.paths) - 1, 0, -1):
+            up = self.paths[p][0]
+            score[up] += 0.5 * score[p]
+            size[up] += size[p]
+            net[up] += net[p]
+        return score, size, net
+
+    def best(self) -> int | None:
+        """From the path of the highest score (the outer and earlier one of equal ones) outwards, while the parent adds text that is not mostly links, and to the outermost article."""
+        if not self.blocks:
             return None
-        at = max(s, key=lambda p: (s[p], p))
-        chain = next(paths[: paths.index(at) + 1] for paths, _, _ in self.blocks if at in paths)
-        article = next((k for k, path in enumerate(chain) if path.rpartition(">")[2].split(".")[0] == "article"), len(chain))
-        covers = self.covered()
-        for k in range(len(chain) - 2, -1, -1):
-            if covers[chain[k]][0] == covers[at][0]:
-                continue
-            if k < article and covers[chain[k]][1] <= covers[at][1]:
-                break
-            at = chain[k]
-        return at
+        score, size, net = self._sums()
+        at = max(range(len(score)), key=lambda p: (score[p], -p))
+        chain = []
+        while at >= 0:
+            chain.append(at)
+            at = self.paths[at][0]
+        outermost = next((k for k in range(len(chain) - 1, -1, -1) if self.paths[chain[k]][1].split(".")[0] == "article"), -1)
+        at = 0
+        for k in range(1, len(chain)):
+            if size[chain[k]] != size[chain[at]]:
+                if k > outermost and net[chain[k]] <= net[chain[at]]:
+                    break
+                at = k
+        return chain[max(at, 0)]
+
+    def name(self, path: int) -> str:
+        labels = []
+        while path > 0:
+            path, label = self.paths[path]
+            labels.append(label)
+        return ">".join(reversed(labels))
+
+    def place(self, name: str) -> int | None:
+        """The path of a name, if the page has it."""
+        path: int | None = 0
+        for label in filter(None, name.split(">")):
+            path = self.known.get((path, label)) if path is not None else None
+        return path
 
     def extract(self, winners: list[str]) -> str:
-        """Blocks inside the winning path that covers most of the page, or inside its own best if that covers clearly more."""
-        own = path = self.best()
-        covers = self.covered()
-        has = [p for p in winners if p in covers]
-        if has:
-            path = max(has, key=lambda p: covers[p][1])
-            if 5 * covers[path][1] < 4 * covers[own][1]:
-                path = own
-        return "\n".join(text for paths, text, _ in self.blocks if path in paths)
+        """Blocks inside any of the winning paths or the page's own best, in page order."""
+        inside = [False] * len(self.paths)
+        for path in [self.best(), *map(self.place, winners)]:
+            if path is not None:
+                inside[path] = True
+        for p in range(1, len(inside)):
+            inside[p] = inside[p] or inside[self.paths[p][0]]
+        return "\n".join(text for path, text, _ in self.blocks if inside[path])
 
 
 def _host(url):
@@ -230,7 +288,8 @@ def host_paths(pages: DataFrame) -> DataFrame:
     def run(batches) -> Iterator[dict]:
         for whole in batches:
             for b in slices(whole, "html"):
-                best = [(Page(h).best() if h else None) for h in b.column(1).to_pylist()]
+                pages_ = [Page(h) if h else None for h in b.column(1).to_pylist()]
+                best = [None if p is None or (at := p.best()) is None else p.name(at) for p in pages_]
                 yield {"host": b.column(0), "path": best}
 
     votes = arrow_map(pages.select(_host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")), run, "host string, path string")
