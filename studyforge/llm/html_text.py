@@ -5,7 +5,7 @@ against; a container is known by its path of tags and classes, with digits gener
 From the best one the path climbs as long as the parent adds text that is not mostly links,
 and up to the outermost article, so that titles, introductions, lists and tables beside the
 longest part stay with it. Pages vote for the paths they reach, Spark counts the votes by
-host, and every page is extracted again: what lies in any of its host's winning paths, or in its own,
+host, and every page is extracted again: what lies in any of its host's winning paths (where that is not mostly links), or in its own,
 so that an article in several containers stays whole. What lies in a
 menu, header, footer, sidebar, notice, advert, form, script, style or comment section is
 left out wherever it stands and whatever its size. Such parts are told by their element or by the words of their class, id or role, in
@@ -267,10 +267,11 @@ class Page:
         return path
 
     def extract(self, winners: list[str]) -> str:
-        """Blocks inside any of the winning paths or the page's own best, in page order."""
+        """Blocks inside the page's own best path or any winning one whose text here is not mostly links, in page order."""
         inside = [False] * len(self.paths)
-        for path in [self.best(), *map(self.place, winners)]:
-            if path is not None:
+        own, net = self.best(), self._sums()[2]
+        for path in [own, *map(self.place, winners)]:
+            if path is not None and (path == own or net[path] > 0):
                 inside[path] = True
         for p in range(1, len(inside)):
             inside[p] = inside[p] or inside[self.paths[p][0]]

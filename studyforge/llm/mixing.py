@@ -136,20 +136,28 @@ def _round_leaf(seed: int, last: bool):
     return run
 
 
+def _sized(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size and two hashes of the text of every row, and the row itself as `doc`."""
+    text = F.col("text").cast("string")
+    size = F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("again"), text).alias("h2"), F.struct("*").alias("doc"))
+
+
+def _named(sized: DataFrame) -> DataFrame:
+    """sized with `row`, a number that names a row by its text and its rank among equal rows, the same in every run."""
+    from pyspark.sql import Window as W
+
+    same = F.row_number().over(W.partitionBy("doc_id", "source", "size", "h1", "h2").orderBy(F.lit(1)))
+    return sized.withColumn("row", F.xxhash64("h1", "h2", same)).drop("h1", "h2")
+
+
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0, seed: int = 7) -> DataFrame:
     """row, doc_id, source, size, source_size, target, copies, taken for every row of docs.
 
-    `row` tells repeated doc_ids apart (their rank among equal doc_ids, by size). The driver
-    holds a row per source, nothing per document.
+    `row` tells rows of equal doc_ids apart, by hashes of their texts and, for equal texts, by rank, so that
+    reruns take the same texts. The driver holds a row per source, nothing per document.
     """
-    from pyspark.sql import Window as W
-
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    base = cut(base, "mix-sizes")
-    # rank among equal doc_ids, which are rare; the salt by size keeps a flood of null ids apart
-    row = F.row_number().over(W.partitionBy("doc_id", "source", "size").orderBy(F.lit(1))) - 1
-    base = base.withColumn("row", row.cast("long"))
+    base = _named(cut(_sized(docs).drop("doc"), "mix-sizes"))
     sums = sorted(((r["source"], r["words"], r["n"]) for r in base.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (x[0] is None, (x[0] or "").encode("utf-32-be")))
     want = targets([x[1] for x in sums], [weights[i % len(weights)] for i in range(len(sums))], most)
     schema = "source string, source_size long, target double, leaves long"
@@ -182,14 +190,9 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: float = 3.0, seed: int
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, each as often as the mix takes it, with docs' columns."""
-    from pyspark.sql import Window as W
-
-    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     counts = mix(docs, **options).where("copies > 0").select(F.col("row").alias("their_row"), F.col("doc_id").alias("their_id"), F.col("source").alias("their_source"), F.col("size").alias("their_size"), "copies")
     # the row goes along whole, so that its columns may have any names
-    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    same = F.row_number().over(W.partitionBy("id", "source", "size").orderBy(F.lit(1))) - 1
-    keyed = keyed.withColumn("row", same.cast("long"))
+    keyed = _named(_sized(docs)).withColumnRenamed("doc_id", "id")
     on = F.col("id").eqNullSafe(F.col("their_id")) & F.col("source").eqNullSafe(F.col("their_source")) & (F.col("size") == F.col("their_size")) & (F.col("row") == F.col("their_row"))
     taken = keyed.join(counts, on)
     return taken.select("doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("doc.*")

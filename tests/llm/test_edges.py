@@ -217,3 +217,11 @@ def test_dedup_spills_and_short_digests_give_the_same_groups(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string")
     want = sorted(map(tuple, exact_groups(d).collect()))
     assert want == sorted(map(tuple, exact_groups(d, digest_bytes=1, budget=2_000).collect()))
+
+
+def test_mixing_takes_the_same_texts_in_every_partitioning(spark):
+    """Different texts of one size with null or equal ids: reruns over other partitions take the same ones."""
+    rows = [(None if i % 2 else 7, f"text number {i}", "en", "ab"[i % 3 == 0], 0) for i in range(400)] + [(None, "text number 1", "en", "a", 0)] * 3
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = [sorted((str(r["doc_id"]), r["text"]) for r in mixed_documents(d.repartition(n)).collect()) for n in (3, 7)]
+    assert got[0] == got[1] and len({t for _, t in got[0]}) > 200
