@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import norm_text, text
+from .text import norm_text, text, trim
 
 #: Fixed values.
 TYPES = ("single", "multi", "judge", "fill", "short")
@@ -28,9 +28,9 @@ def normalise(kind: Column, raw: Column, ingest: bool = False) -> Column:
     none = F.lit(None)
     return F.struct(
         F.when(kind == "single", F.slice(many, 1, 1)).when(kind == "multi", many).alias("letters"),
-        F.when(kind == "judge", F.lower(F.trim(text(raw))).isin(*TRUE_WORDS)).otherwise(none.cast("boolean")).alias("bool"),
-        F.when(kind == "fill", F.transform(F.split(text(raw), r"[;；|]"), lambda x: F.trim(x))).alias("blanks"),
-        F.when(kind == "short", F.trim(text(raw))).alias("text"),
+        F.when(kind == "judge", F.lower(trim(raw)).isin(*TRUE_WORDS)).otherwise(none.cast("boolean")).alias("bool"),
+        F.when(kind == "fill", F.transform(F.split(text(raw), r"[;；|]"), trim)).alias("blanks"),
+        F.when(kind == "short", trim(raw)).alias("text"),
     )
 
 
@@ -39,8 +39,8 @@ def has_answer(kind: Column, pick: Column) -> Column:
     return F.coalesce(
         F.when(kind.isin("single", "multi"), F.size(pick["letters"]) > 0)
         .when(kind == "judge", pick["bool"].isNotNull())
-        .when(kind == "fill", F.exists(pick["blanks"], lambda b: F.length(F.trim(b)) > 0))
-        .otherwise(F.length(F.trim(pick["text"])) > 0),
+        .when(kind == "fill", F.exists(pick["blanks"], lambda b: F.length(trim(b)) > 0))
+        .otherwise(F.length(trim(pick["text"])) > 0),
         F.lit(False),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import text
+from .text import text, trim
 
 #: How a stem asks for what is NOT so; each user has its own pattern, and they differ on purpose.
 NEGATIVE = {
@@ -43,7 +43,7 @@ def numbered_question(line: Column) -> Column:
 
 def concept(c: Column) -> Column:
     """The trimmed concept, or an empty text if it is no name: digits, blanks, question words, half sentences, loose ends, unpaired quotes."""
-    t = F.trim(text(c))
+    t = trim(c)
     pairs = F.lit(False)
     for a, b in ("《》", "“”"):
         pairs = pairs | (F.length(F.regexp_replace(t, f"[^{a}]", "")) != F.length(F.regexp_replace(t, f"[^{b}]", "")))

@@ -2,7 +2,8 @@
 
 A bank row has id, num (of the id), type, stem, options array<string>, letters array<string> (of the answer;
 null where the answer has none), flag boolean (of judge items), explanation, part_answer, part_note,
-why map<string,string> (option letter to reason), chapter, section, src, ref and hard. Null arrays, maps and
+why map<string,string> (option letter to reason), source, chapter, section, src, ref, key_concept, keywords array<string>,
+answer (text of items without letters) and hard. White space of any kind at the ends of texts does not count. Null arrays, maps and
 texts count as empty, but as missing where a check asks for the field. Findings are (rule, id, n): n tells how
 often the row breaks the rule, or how many rows a group has, whose smallest id stands for it.
 """
@@ -16,13 +17,13 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import TYPES
 from ..functions.predicates import negative
-from ..functions.text import text
+from ..functions.text import text, trim
 from .audit import first_reason
 
 #: Fixed values.
 LETTERS = "ABCDEFGH"
 SOURCES = ("textbook", "manual", "bank", "template", "web")
-REQUIRED = ("id", "type", "stem", "options", "explanation", "chapter", "section", "src", "ref", "why", "part_answer")
+REQUIRED = ("id", "type", "stem", "options", "explanation", "source", "chapter", "section", "src", "ref", "key_concept", "keywords", "why", "part_answer")
 #: Where a text names answer letters; a letter that starts a word or a code is none.
 NAMED = r"(?:^|[\n。；;])\s*(?:正确答案[:：]|正确选项是)\s*([A-H](?:\s*[、,，/]\s*[A-H](?![A-Za-z0-9\-—]))*)(?![A-Za-z0-9\-—])"
 CLAIM = r"^([A-H])\s*[（(](.+?)[）)]\s*$"
@@ -48,14 +49,14 @@ def _letters(n: Column) -> Column:
 
 def _prepared(bank: DataFrame) -> DataFrame:
     objective = F.coalesce(F.col("type").isin("single", "multi"), F.lit(False))
-    marked = F.transform(F.coalesce("letters", _none()), lambda x: F.upper(F.trim(x)))
+    marked = F.transform(F.coalesce("letters", _none()), lambda x: F.upper(trim(x)))
     ans = F.when(objective, F.array_distinct(F.array_sort(F.filter(marked, lambda x: x != "")))).otherwise(_none())
     return bank.withColumns({"_opts": F.coalesce("options", _none()), "_why": F.coalesce("why", F.map_from_arrays(_none(), _none())), "_obj": objective, "_ans": ans, "_pa": text("part_answer")}).withColumn("_n", F.size("_opts"))
 
 
 def _shown(n: Column, line: Column) -> Column:
     """Letters of options that an answer line shows: one before a mark, or at its end."""
-    end = F.rtrim(line)
+    end = F.regexp_replace(line, r"[\s\x{a0}\x{3000}]+$", "")
     return F.filter(_letters(n), lambda x: F.regexp_like(line, F.concat(x, F.lit(r"\s*" + MARKS))) | F.endswith(end, x))
 
 
@@ -80,9 +81,9 @@ def consistency(bank: DataFrame) -> DataFrame:
     R7 the same question again; R8 one stem, several answers; R9 the answer line shows other letters than the answer.
     """
     b = _prepared(bank)
-    head = F.trim(F.col("_pa"))
+    head = trim(F.col("_pa"))
     at = _place(F.regexp_extract(head, CLAIM, 1))
-    claim, option = F.trim(F.regexp_extract(head, CLAIM, 2)), F.get("_opts", at)
+    claim, option = trim(F.regexp_extract(head, CLAIM, 2)), F.get("_opts", at)
     r3 = (claim != "") & (at >= 0) & option.isNotNull() & ~F.contains(option, claim) & ~F.contains(claim, option)
     named = F.regexp_extract_all(F.concat(text("explanation"), F.lit("\n"), text("part_note")), F.lit(NAMED), F.lit(1))
     told = F.flatten(F.transform(named, lambda x: F.regexp_extract_all(x, F.lit("[A-H]"), F.lit(0))))
@@ -103,7 +104,7 @@ def consistency(bank: DataFrame) -> DataFrame:
     })
     stem = F.regexp_replace(text("stem"), r"[^\x{4e00}-\x{9fff}A-Za-z0-9]", "")
     group = lambda rule: (F.lit(rule).alias("rule"), F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    same = b.groupBy(_key(stem, F.array_sort(F.transform("_opts", lambda x: F.trim(x)))).alias("k")).agg(*group("R7")).where("n > 1").drop("k")
+    same = b.groupBy(_key(stem, F.array_sort(F.transform("_opts", lambda x: trim(x)))).alias("k")).agg(*group("R7")).where("n > 1").drop("k")
     judged = b.where(F.col("type").isin("single", "multi", "judge"))
     split = judged.groupBy(_key(stem).alias("k")).agg(*group("R8"), F.min("_ans").alias("lo"), F.max("_ans").alias("hi")).where("lo <> hi").select("rule", "id", "n")
     return rows.unionByName(same).unionByName(split)
@@ -113,7 +114,7 @@ def _reasons(b: DataFrame) -> dict[str, Column]:
     """Tests on the reasons for wrong options that the ingest check and the gate share."""
     all_letters = _letters(F.col("_n"))
     wrong = F.array_except(all_letters, "_ans")
-    said = F.map_keys(F.map_filter("_why", lambda k, v: F.trim(text(v)) != ""))
+    said = F.map_keys(F.map_filter("_why", lambda k, v: trim(v) != ""))
     covered = F.arrays_overlap(said, wrong) | (negative(F.col("stem"), "ingest") & F.arrays_overlap(said, "_ans"))
     return {"stray": F.size(F.array_except(F.map_keys("_why"), all_letters)) > 0, "uncovered": (F.size(wrong) > 0) & ~covered, "needless": (F.size(wrong) == 0) & (F.size("_why") > 0)}
 
@@ -130,12 +131,13 @@ def ingest(new: DataFrame, old: DataFrame, chapters: list[str]) -> DataFrame:
     N10 repeats a new row of smaller number; N11 no hard mark. Types of columns (N12) are the schema's business.
     """
     b = _prepared(new)
-    have = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in REQUIRED])
+    answered = F.coalesce("letters", F.when(F.col("flag").isNotNull() | F.col("answer").isNotNull(), _none())).isNotNull()
+    have = reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in REQUIRED], answered)
     kind, given = F.col("type"), F.coalesce("letters", _none())
     single = (F.size("_ans") != 1) | (F.length(F.array_join("_ans", "")) != 1) | _beyond()
     multi = (F.size(given) < 2) | (given != F.array_sort(F.array_distinct(given))) | _beyond()
     shown, why = _shown(F.col("_n"), F.col("_pa")), _reasons(b)
-    blank = lambda c: F.trim(text(c)) == ""
+    blank = lambda c: trim(c) == ""
     rules = {
         "N3": _count(((kind == "single") & single) | ((kind == "multi") & multi) | ((kind == "judge") & F.col("flag").isNull())),
         "N4": _count(F.col("_obj") & (F.col("_n") < 2)) + _count(F.col("_obj") & F.exists("_opts", blank)) + _count(~F.col("_obj") & (F.col("_n") > 0)),
@@ -160,7 +162,7 @@ def ingest(new: DataFrame, old: DataFrame, chapters: list[str]) -> DataFrame:
 
 def gate(items: DataFrame) -> DataFrame:
     """items with reject_reason, the first that holds, or null: what may enter the bank. Options without text don't count."""
-    filled = F.filter(F.transform(F.coalesce("options", _none()), lambda x: F.trim(x)), lambda x: x != "")
+    filled = F.filter(F.transform(F.coalesce("options", _none()), lambda x: trim(x)), lambda x: x != "")
     b = _prepared(items.withColumn("_given", F.col("options")).withColumn("options", filled))
     multi, single = F.col("type") == "multi", F.col("type") == "single"
     ans = F.when(multi, F.filter("_ans", lambda c: c.between("A", "D"))).otherwise(F.col("_ans"))
@@ -168,13 +170,13 @@ def gate(items: DataFrame) -> DataFrame:
     why = _reasons(b)
     rules = {
         "unknown type": F.col("type").isNull() | ~F.col("type").isin(*TYPES),
-        "empty stem": F.trim(text("stem")) == "",
+        "empty stem": trim(F.col("stem")) == "",
         "too few options": F.col("_obj") & (F.col("_n") < 2),
         "unreadable judgement": (F.col("type") == "judge") & F.col("flag").isNull(),
         "bad single answer": single & ((F.size("_ans") != 1) | F.exists("_ans", lambda c: (F.length(c) != 1) | ~c.between("A", "D"))),
         "too few answers": multi & (F.size("_ans") < 2),
         "answer beyond options": F.col("_obj") & F.exists("_ans", lambda c: _place(c) >= F.col("_n")),
-        "no explanation": F.trim(text("explanation")) == "",
+        "no explanation": trim(F.col("explanation")) == "",
         "unknown source": ~text("src").isin(*SOURCES),
         "stray reason": F.col("_obj") & why["stray"],
         "no reason": F.col("_obj") & why["uncovered"],
@@ -190,7 +192,7 @@ def note_gate(notes: DataFrame, bank: DataFrame) -> DataFrame:
     Only a note that passes all else counts as a note's first; later ones for the same option are repeats.
     """
     b = _prepared(bank).select("id", "_ans", F.map_keys("_why").alias("_keys"), F.lit(True).alias("_known"))
-    t = F.trim(text("text"))
+    t = trim(F.col("text"))
     j = notes.join(b, "id", "left")
     before = {"unknown item": F.col("_known").isNull() | (t == ""), "not a wrong option": ~F.coalesce(F.array_contains("_keys", F.col("key")), F.lit(False)), "right option": F.array_contains("_ans", F.col("key"))}
     phrase = reduce(lambda x, y: x | y, [F.contains(t, F.lit(p)) for p in PHRASES])

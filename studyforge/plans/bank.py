@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import predicates as Q
@@ -9,29 +11,50 @@ from ..operators import bank_audit as A
 from ..operators import progress as P
 from ..operators import upsert
 from ..sources import bindings as B
-from .catalog import register
+from .catalog import ORACLES, register
 
 #: The parts seen as bank rows, in expressions that Spark and DuckDB both read; ARR stands for the list constructor.
 FIELDS = {
     "id": "'q-' || lpad(cast(p_partkey AS string), 8, '0')",
     "num": "cast(floor(p_partkey / 2) + floor(p_partkey / 40) AS bigint)",
     "type": "CASE p_partkey % 7 WHEN 0 THEN 'single' WHEN 1 THEN 'multi' WHEN 2 THEN 'judge' WHEN 3 THEN 'fill' WHEN 4 THEN 'short' WHEN 5 THEN 'multi' ELSE CASE WHEN p_partkey % 5 = 0 THEN 'essay' ELSE 'single' END END",
-    "stem": "CASE WHEN p_partkey % 11 = 0 THEN '下列不属于 ' || p_type || ' 的是' WHEN p_partkey % 11 = 1 THEN p_name || '____' WHEN p_partkey % 11 = 2 THEN ' ' ELSE p_name || ' ' || p_type END",
-    "options": "CASE WHEN p_partkey % 7 IN (0, 1, 5, 6) THEN CASE p_partkey % 4 WHEN 0 THEN ARR(p_type, 'old') WHEN 1 THEN ARR(p_type, 'old', p_brand) WHEN 2 THEN ARR(p_type, 'new', 'old', 'more') ELSE ARR(p_type, ' ', 'old') END END",
+    "stem": "CASE WHEN p_partkey % 11 = 0 THEN '下列不属于 ' || p_type || ' 的是' WHEN p_partkey % 11 = 1 THEN p_name || '____' WHEN p_partkey % 11 = 2 THEN '　\t' ELSE p_name || ' ' || p_type END",
+    "options": "CASE WHEN p_partkey % 7 IN (0, 1, 5, 6) THEN CASE p_partkey % 4 WHEN 0 THEN ARR(p_type || CASE WHEN p_partkey % 8 = 0 THEN '　' ELSE '' END, 'old') WHEN 1 THEN ARR(p_type, 'old', p_brand) WHEN 2 THEN ARR(p_type, 'new', 'old', 'more') ELSE ARR(p_type, CASE WHEN p_partkey % 3 = 0 THEN '\t' ELSE '　\n' END, 'old') END END",
     "letters": "CASE WHEN p_partkey % 7 IN (0, 1, 5, 6) THEN regexp_extract_all(substr('ABCDBADAACEAB', cast(1 + p_size % 10 AS int), cast(1 + p_size % 3 AS int)), '[A-Z]', 0) END",
     "flag": "CASE WHEN p_partkey % 7 = 2 AND p_partkey % 5 <> 0 THEN p_size % 2 = 0 END",
     "answer": "CASE WHEN p_partkey % 7 IN (3, 4) THEN p_type END",
-    "explanation": "CASE p_partkey % 8 WHEN 0 THEN ' ' WHEN 1 THEN '正确答案：' || substr('ABCD', cast(1 + p_size % 4 AS int), 1) || '、C4ISR系统' WHEN 2 THEN p_name || '。正确选项是 A/B' WHEN 3 THEN '答案AB，正确答案:A' ELSE '解析；正确答案：C，D-2' END",
+    "explanation": "CASE p_partkey % 8 WHEN 0 THEN '\n　' WHEN 1 THEN '正确答案：' || substr('ABCD', cast(1 + p_size % 4 AS int), 1) || '、C4ISR系统' WHEN 2 THEN p_name || '。正确选项是 A/B' WHEN 3 THEN '答案AB，正确答案:A' ELSE '解析；正确答案：C，D-2' END",
     "part_answer": "CASE p_partkey % 5 WHEN 0 THEN 'A（' || p_type || '）' WHEN 1 THEN 'A、B（old）' WHEN 2 THEN 'B；C、new' WHEN 3 THEN ' B(none of these) ' ELSE 'D' END",
     "part_note": "CASE WHEN p_partkey % 9 = 0 THEN '；正确答案：D' END",
     "why_keys": "CASE p_partkey % 3 WHEN 0 THEN ARR('A', 'C') WHEN 1 THEN ARR('B') ELSE ARR('H') END",
     "why_texts": "CASE p_partkey % 3 WHEN 0 THEN ARR('与正确项 B/C 不同', '属于' || p_type) WHEN 1 THEN ARR('与正确项A相反') ELSE ARR(' ') END",
     "chapter": "p_brand",
-    "section": "CASE WHEN p_partkey % 17 = 0 THEN ' ' WHEN p_partkey % 17 = 1 THEN NULL ELSE p_type END",
+    "section": "CASE WHEN p_partkey % 17 = 0 THEN '　\n' WHEN p_partkey % 17 = 1 THEN NULL ELSE p_type END",
     "src": "CASE p_partkey % 7 WHEN 0 THEN 'web' WHEN 1 THEN 'textbook' WHEN 2 THEN 'manual' WHEN 3 THEN 'bank' WHEN 4 THEN 'template' WHEN 5 THEN 'blog' ELSE 'web' END",
     "ref": "CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'p. 3' END",
+    "source": "CASE WHEN p_partkey % 23 <> 1 THEN p_brand END",
+    "key_concept": "CASE WHEN p_partkey % 29 <> 2 THEN p_type END",
+    "keywords": "CASE WHEN p_partkey % 31 <> 3 THEN ARR(p_type) END",
     "hard": "CASE WHEN p_partkey % 19 <> 0 THEN p_size >= 40 END",
 }
+#: What counts as white space at a text's ends.
+BLANKS = " \t\n\r\f\v\u00a0　"
+
+
+def _trims(sql: str) -> str:
+    """SQL whose trim and rtrim take off white space of any kind."""
+    ends = []
+    for m in re.finditer(r"\br?trim\(", sql):
+        depth, k = 1, m.end()
+        while depth:
+            depth += (sql[k] == "(") - (sql[k] == ")")
+            k += 1
+        ends.append(k - 1)
+    for k in sorted(ends, reverse=True):
+        sql = sql[:k] + f", '{BLANKS}'" + sql[k:]
+    return sql
+
+
 CHAPTERS = ["Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#11", "Brand#12", "Brand#13"]
 
 
@@ -83,7 +106,7 @@ STRAY = "len(list_filter(why_keys, lambda k: NOT list_contains(every, k))) > 0"
 @register(
     "bank_ingest",
     f"""{PREPARED}, c AS (SELECT *, {SHOWN} AS shown, {WHY}, list_filter(ans, lambda c: NOT (c >= 'A' AND c <= 'D') OR instr('ABCDEFGH', c) > n) AS beyond,
-    id IS NULL OR type IS NULL OR stem IS NULL OR options IS NULL OR explanation IS NULL OR chapter IS NULL OR section IS NULL OR src IS NULL OR ref IS NULL OR part_answer IS NULL AS lacks FROM b),
+    id IS NULL OR type IS NULL OR stem IS NULL OR options IS NULL OR explanation IS NULL OR chapter IS NULL OR section IS NULL OR src IS NULL OR ref IS NULL OR part_answer IS NULL OR source IS NULL OR key_concept IS NULL OR keywords IS NULL OR (letters IS NULL AND flag IS NULL AND answer IS NULL) AS lacks FROM b),
 new AS (SELECT * FROM c WHERE key % 2 = 1), old AS (SELECT * FROM c WHERE key % 2 = 0), whole AS (SELECT * FROM new WHERE NOT lacks),
 f AS (
   SELECT 'N1' AS rule, id, 1 AS n FROM new WHERE num > (SELECT min(num) FROM new) AND num - 1 NOT IN (SELECT num FROM new)
@@ -220,3 +243,7 @@ def session_rate(spark, sf):
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("long")
     e = B.table(spark, sf, "events").where("event_type IN ('click', 'purchase', 'error')")
     return P.session_rate(e.select(F.col("user_id").alias("session"), k.alias("question"), (F.col("event_type") != "error").alias("ok"), F.col("event_id").alias("seq")))
+
+
+for _name in ("bank_consistency", "bank_ingest", "bank_gate", "note_gate"):
+    ORACLES[_name] = _trims(ORACLES[_name])

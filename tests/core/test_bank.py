@@ -8,8 +8,8 @@ from studyforge.operators import bank_audit as A
 from studyforge.operators import progress as P
 from studyforge.operators import upsert
 
-SCHEMA = "id string, num long, type string, stem string, options array<string>, letters array<string>, flag boolean, explanation string, part_answer string, part_note string, why map<string,string>, chapter string, section string, src string, ref string, hard boolean"
-GOOD = {"id": "q-1", "num": 1, "type": "single", "stem": "国防的主体是", "options": ["国家", "军队"], "letters": ["A"], "flag": None, "explanation": "正确答案：A、国家", "part_answer": "A（国家）", "part_note": None, "why": {"B": "军队只是其中一部分"}, "chapter": "one", "section": "s", "src": "bank", "ref": "", "hard": False}
+SCHEMA = "id string, num long, type string, stem string, options array<string>, letters array<string>, flag boolean, explanation string, part_answer string, part_note string, why map<string,string>, chapter string, section string, src string, ref string, hard boolean, source string, key_concept string, keywords array<string>, answer string"
+GOOD = {"id": "q-1", "num": 1, "type": "single", "stem": "国防的主体是", "options": ["国家", "军队"], "letters": ["A"], "flag": None, "explanation": "正确答案：A、国家", "part_answer": "A（国家）", "part_note": None, "why": {"B": "军队只是其中一部分"}, "chapter": "one", "section": "s", "src": "bank", "ref": "", "hard": False, "source": "x", "key_concept": "国防", "keywords": ["国防"], "answer": None}
 
 
 def rows(spark, *changes):
@@ -22,7 +22,7 @@ def found(df):
 
 def test_a_sound_row_and_a_row_of_nulls_break_no_rule_of_consistency(spark):
     assert found(A.consistency(rows(spark, {}))) == []
-    nulls = spark.createDataFrame([(None,) * 16], SCHEMA)
+    nulls = spark.createDataFrame([(None,) * 20], SCHEMA)
     assert found(A.consistency(nulls)) == []
     assert found(A.consistency(nulls.where("false"))) == []
     assert A.gate(nulls).first()["reject_reason"] == "unknown type"
@@ -53,9 +53,22 @@ def test_groups_of_equal_and_conflicting_stems(spark):
     assert found(A.consistency(b)) == [("R7", "q-1", 2), ("R8", "q-1", 2)]
 
 
+def test_blanks_of_any_kind_do_not_count(spark):
+    """Ideographic spaces, tabs and line breaks at the ends of texts, which the bank's own checks strip."""
+    same = {"stem": "同一题"}
+    assert found(A.consistency(rows(spark, same, {**same, "options": ["国家　", "\t军队"]}))) == [("R7", "q-1", 2)]
+    assert found(A.consistency(rows(spark, {"part_answer": "　A（国家\t）\n"}))) == []
+    bad = rows(spark, {"section": "　", "options": ["国家", "\t"], "explanation": "\n　"}, {"stem": "　\t"}, {"options": ["国家", "　"]})
+    told = [(r, i) for r, i, _ in found(A.ingest(bad, bad.where("false"), ["one"]))]
+    assert {("N4", "q-1"), ("N5", "q-1"), ("N7", "q-1"), ("N4", "q-3")} <= set(told)
+    assert [r["reject_reason"] for r in A.gate(bad).orderBy("id").collect()] == ["too few options", "empty stem", "too few options"]
+    lacking = rows(spark, {"keywords": None}, {"key_concept": None}, {"source": None}, {"letters": None})
+    assert [(r, i) for r, i, _ in found(A.ingest(lacking, lacking.where("false"), ["one"])) if r == "N2"] == [("N2", f"q-{i}") for i in range(1, 5)]
+
+
 def test_ingest_tells_gaps_repeats_and_missing_fields(spark):
     old = rows(spark, {"id": "old", "stem": "旧题"})
-    new = rows(spark, {}, {"id": "q-2", "num": 2, "stem": "旧题"}, {"num": 4, "ref": None}, {"num": 5, "stem": "国防的主体是1号", "src": "web"}, {"num": 6, "type": "short", "letters": None, "part_answer": "", "chapter": "two", "hard": None})
+    new = rows(spark, {}, {"id": "q-2", "num": 2, "stem": "旧题"}, {"num": 4, "ref": None}, {"num": 5, "stem": "国防的主体是1号", "src": "web"}, {"num": 6, "type": "short", "letters": None, "answer": "答", "part_answer": "", "chapter": "two", "hard": None})
     assert found(A.ingest(new, old, ["one"])) == [("N1", "q-3", 1), ("N10", "q-4", 1), ("N11", "q-5", 1), ("N2", "q-3", 1), ("N4", "q-5", 1), ("N7", "q-5", 1), ("N8", "q-4", 1), ("N9", "q-2", 1)]
 
 
