@@ -33,6 +33,48 @@ FROM t
 """
 
 
+def _levels(name: str, keys: str, most: int) -> str:
+    """Levels 1 to `most` of trees over `name`0 (keys, idx, d), and of each level but the last what stands in its run before (pre) and after (suf) a node."""
+    out = []
+    for k in range(most):
+        run = f"PARTITION BY {keys}, idx // 16 ORDER BY idx ROWS BETWEEN"
+        out.append(f"""{name}s{k} AS (SELECT {keys}, idx, coalesce(string_agg(d, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS pre, coalesce(string_agg(d, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS suf
+  FROM {name}{k} WHERE {keys} IN (SELECT {keys} FROM {name}{k} GROUP BY {keys} HAVING count(*) > 1))""")
+        out.append(f"{name}{k + 1} AS (SELECT {keys}, idx // 16 AS idx, sha256(string_agg(d, '' ORDER BY idx)) AS d FROM {name}{k} WHERE {keys} IN (SELECT {keys} FROM {name}{k} GROUP BY {keys} HAVING count(*) > 1) GROUP BY {keys}, idx // 16)")
+    tops = " UNION ALL ".join(f"SELECT {keys}, d FROM {name}{k} WHERE {keys} IN (SELECT {keys} FROM {name}{k} GROUP BY {keys} HAVING count(*) = 1)" for k in range(most + 1))
+    return ", ".join([*out, f"{name}top AS ({tops})"])
+
+
+def _folds(first: str, steps: list[str], name: str) -> str:
+    """A digest folded step by step, where a step's row is there."""
+    at, out = first, []
+    for k, s in enumerate(steps):
+        out.append(f"{name}{k} AS (SELECT *, CASE WHEN {s}pre IS NULL THEN {at} ELSE sha256({s}pre || {at} || {s}suf) END AS f{k} FROM {'paths' if not k else name + str(k - 1)})")
+        at = f"f{k}"
+    return ", ".join(out)
+
+
+#: Trees of up to 16**6 leaves a source and 16**3 sources; the crc32 is worked bit by bit.
+LEAF_LEVELS, SOURCE_LEVELS = 6, 3
+CRC = "(xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(1, 9) AS BIGINT[])), lambda x, i: xor(x >> 1, (x & 1) * 3988292384)))))"
+NETTED = " || ".join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "TEXT"))
+STEPS = [f"a{k}_" for k in range(LEAF_LEVELS)] + [f"b{k}_" for k in range(SOURCE_LEVELS)]
+OP13_SQL = f"""
+WITH leaves AS (
+  SELECT doc_id, coalesce('+' || source, '') AS k, sha256({NETTED.replace("TEXT", "text")}) AS leaf,
+    sha256({NETTED.replace("TEXT", "CASE WHEN doc_id IS NOT NULL AND " + CRC + " % 5 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END")}) AS changed FROM documents),
+placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM leaves),
+a0 AS (SELECT k, idx, leaf AS d FROM placed), {_levels("a", "k", LEAF_LEVELS)},
+b0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY k) - 1 AS idx, d, k FROM atop), {_levels("b", "g", SOURCE_LEVELS)},
+paths AS (SELECT p.doc_id, p.leaf, p.changed, atop.d AS subroot, (SELECT d FROM btop) AS root, {", ".join(f"{n}{k}_.{c} AS {n}{k}_{c}" for n, m in (("a", LEAF_LEVELS), ("b", SOURCE_LEVELS)) for k in range(m) for c in ("pre", "suf"))}
+  FROM placed p JOIN atop USING (k) JOIN b0 ON b0.k = p.k
+  {" ".join(f"LEFT JOIN as{k} a{k}_ ON a{k}_.k = p.k AND a{k}_.idx = p.idx // {16**k}" for k in range(LEAF_LEVELS))}
+  {" ".join(f"LEFT JOIN bs{k} b{k}_ ON b{k}_.idx = b0.idx // {16**k}" for k in range(SOURCE_LEVELS))}),
+{_folds("changed", STEPS, "fold")}
+SELECT doc_id, leaf, subroot, root, sha256({" || ".join(f"coalesce({s}pre || {s}suf, '')" for s in STEPS)}) AS proof_sha256, f{len(STEPS) - 1} AS folded_root, f{len(STEPS) - 1} = root AS verified FROM fold{len(STEPS) - 1}
+"""
+
+
 def op8_exact_dedup(spark, sf_dir):
     """Owner of every document's text, over all of `documents`."""
     return exact_groups(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -128,4 +170,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op8_exact_dedup": OP8_SQL, "op13_merkle_manifest": OP13_SQL}

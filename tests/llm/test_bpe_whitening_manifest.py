@@ -233,3 +233,14 @@ def test_stack_leaves_edges_open():
     # parents 2 to 10 are made here; run 0 to 3 began before and run 8 to 11 is not full
     assert sorted((n[1], n[3]) for n in seen if n[0] == 1) == [(2, True), (3, True), *[(i, False) for i in range(4, 8)], (8, True), (9, True), (10, True)]
     assert [(n[1], n[2]) for n in seen if n[0] == 2] == [(1, H(*[H(*[str(4 * p + j) for j in range(4)]) for p in range(4, 8)]))]
+
+
+@needs_tables
+def test_op13_equals_its_sql(spark):
+    import duckdb
+
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    want = db.sql(Q.OP13_SQL)
+    got = Q.op13_merkle_manifest(spark, SMALL).select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
