@@ -94,11 +94,12 @@ def bound(letters: Letters, codes: np.ndarray) -> np.ndarray:
 
 def bundled(letters: Letters, rows: int, row: np.ndarray, num: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Sum of the trigrams' vectors for each row, a bounded number of different trigrams at a time."""
-    by = np.argsort(num, kind="stable")
-    row, num = row[by], num[by]
+    if len(codes) > TRIGRAMS:  # else all are in one piece, and need no order
+        by = np.argsort(num, kind="stable")
+        row, num = row[by], num[by]
     out = np.zeros((rows, letters.dims))
     for lo in range(0, len(codes), TRIGRAMS):
-        a, b = np.searchsorted(num, [lo, lo + TRIGRAMS])
+        a, b = np.searchsorted(num, [lo, lo + TRIGRAMS]) if len(codes) > TRIGRAMS else (0, len(num))
         width = min(TRIGRAMS, len(codes) - lo)
         part = np.bincount(row[a:b] * width + num[a:b] - lo, minlength=rows * width).reshape(rows, width).astype(np.float32)
         out += part @ bound(letters, codes[lo : lo + width])
