@@ -90,13 +90,17 @@ class Index:
         self.weights = stored(weighed.groupBy("gram").agg(F.max("hits").alias("hits"), F.max("weight").alias("weight")), "index-weights")
 
     def reaching(self, wants: DataFrame) -> DataFrame:
-        """key, unit of the pairs whose weights can reach what the key needs; wants: key, gram, weight, need (the same for all of a key)."""
+        """key, unit, have, spare of the pairs whose weights can reach what the key needs; wants: key, gram, weight, need (the same for all of a key).
+
+        have: what the essential grams give; spare: what the others could add, 0 if there are none, so that `have` is exact.
+        """
         w = wants.join(self.weights.select("gram", "hits"), "gram")
         by = W.partitionBy("key").orderBy(F.desc("hits"), "gram").rowsBetween(W.unboundedPreceding, 0)
         essential = w.withColumn("run", F.sum("weight").over(by)).where(F.col("run") >= F.col("need") - EPS)
         spare = F.min(F.col("run") - F.col("weight")).over(W.partitionBy("key"))
-        met = essential.withColumn("floor", F.col("need") - spare).join(self.postings.select("gram", "unit"), "gram")
-        return met.groupBy("key", "unit").agg(F.sum("weight").alias("have"), F.first("floor").alias("floor")).where(F.col("have") >= F.col("floor") - EPS).select("key", "unit")
+        met = essential.withColumn("spare", spare).join(self.postings.select("gram", "unit"), "gram")
+        sums = met.groupBy("key", "unit").agg(F.sum("weight").alias("have"), F.first("need").alias("need"), F.first("spare").alias("spare"))
+        return sums.where(F.col("have") + F.col("spare") >= F.col("need") - EPS).select("key", "unit", "have", F.when(F.col("spare") > EPS, F.col("spare")).otherwise(0.0).alias("spare"))
 
     def _wants(self, texts: DataFrame) -> DataFrame:
         """key, gram, weight of the grams of texts (key, text)."""
@@ -114,9 +118,11 @@ class Index:
     def covering(self, texts: DataFrame) -> DataFrame:
         """key, unit, cover of every unit that covers a text to its `least`; texts: key, text, least."""
         wants = stored(self._wants(texts), "index-wants")
-        need = wants.groupBy("key").agg(F.sum("weight").alias("whole")).join(texts.select("key", "least"), "key").select("key", (F.col("whole") * F.col("least")).alias("need"))
-        pairs = self.reaching(wants.join(need, "key"))
-        return self._covered(pairs, wants).join(texts.select("key", "least"), "key").where(F.col("cover") >= F.col("least")).drop("least")
+        whole = stored(wants.groupBy("key").agg(F.sum("weight").alias("whole")).join(texts.select("key", "least"), "key"), "index-wholes")
+        pairs = stored(self.reaching(wants.join(whole.select("key", (F.col("whole") * F.col("least")).alias("need")), "key")), "index-pairs")
+        exact = pairs.where("spare = 0").join(whole, "key").select("key", "unit", F.round(F.col("have") / F.col("whole"), 9).alias("cover"))
+        looked = self._covered(pairs.where("spare > 0").select("key", "unit"), wants)
+        return exact.unionByName(looked).join(texts.select("key", "least"), "key").where(F.col("cover") >= F.col("least")).drop("least")
 
     def top(self, texts: DataFrame, most: int) -> DataFrame:
         """key, unit, cover, place: the `most` units that cover each text (key, text) best, ties by unit.
@@ -159,7 +165,7 @@ class Index:
         by_gram = q.select("key", (F.lit(0.28) / F.size("own")).alias("value"), F.explode("own").alias("gram"))
         weight = by_gram.unionByName(by_word).groupBy("key", "gram").agg(F.sum("value").alias("weight"))
         need = q.join(free, "key", "left").select("key", (F.col("least") - 0.1 - F.coalesce("free", F.lit(0.0))).alias("need"))
-        pairs = self.reaching(weight.join(need, "key"))
+        pairs = self.reaching(weight.join(need, "key")).select("key", "unit")
         told = q.select("key", "chapter", F.explode("own").alias("gram")).join(self.postings.select("gram", "chapter").distinct(), ["gram", "chapter"]).select("key").distinct().withColumn("told", F.lit(True))
         full = pairs.join(q.withColumnRenamed("chapter", "wanted"), "key").join(told, "key", "left").join(self.units, "unit")
         here = full.where(F.col("told").isNull() | (F.col("wanted") == F.col("chapter")))
