@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from studyforge.plans import catalog
 
@@ -76,38 +77,40 @@ def evidence(spark):
 
 
 def test_evidence_is_ranked_like_brute_force(evidence):
-    from studyforge.functions.spans import longest_common
-    from studyforge.operators.retrieval import rank, related
+    """The answer's cover by words and pairs of words, its run, and the stem's score, in the stem's own chapter first."""
+    from studyforge.functions.spans import fit
+    from studyforge.operators.index import WORDS, Index
 
     q, u, queries, units = evidence
-    grams = {k: {w for w in t.split() if len(w) >= 4} for k, _, t in units}
-    df = {w: sum(w in g for g in grams.values()) / len(units) for w in set().union(*grams.values())}
-    best, near = {}, {}
+    words = lambda t: [w for w in t.split() if len(w) >= 2]
+    pairs = lambda t: {" ".join(p) for p in zip(words(t), words(t)[1:], strict=False)}
+    every = {k: set(words(t)) | pairs(t) for k, _, t in units}
+    df = {w: sum(w in g for g in every.values()) / len(units) for w in set().union(*every.values())}
+    weight = lambda w: (1 + 60 * df[w]) ** (-1.3 if " " in w else -1.6) if w in df else 0.05
+    best = {}
     for query, text, answer, chapter in queries:
-        own = set(text.split())
-        weight = {w: (1 + 60 * df[w]) ** -1.6 if w in df else 0.05 for w in own}
-        a = answer.replace(" ", "")
+        own, stem = set(words(answer)) | pairs(answer), set(words(text))
         for k, c, t in units:
-            cover = sum(weight[w] for w in own & grams[k]) / sum(weight.values())
-            fit = longest_common(a, t.replace(" ", "")) / len(a)
-            parts = (0.50, 0.22, 0.28) if len(a) <= 6 else (0.38, 0.36, 0.26)
-            share = len(own & grams[k]) / len(own)
-            score = round(parts[0] * fit + parts[1] * cover + parts[2] * share, 6)
-            if cover >= 0.45 and fit >= 0.5:
-                best[query] = min(best.get(query, (9,)), (0 if chapter in (None, c) else 2, -score, k))
-            score = round(0.62 * share + 0.28 * len(own & grams[k]) / len(own | grams[k]) + 0.10 * (c == chapter), 6)
-            if score >= 0.3:
-                near[query] = min(near.get(query, (9,)), (-score, k))
-    got = {r["query"]: (r["unit"], r["score"]) for r in rank(q, u).collect()}
+            cover = sum(weight(w) for w in own & every[k]) / sum(map(weight, own)) if own else 0.0
+            run, base = fit(answer, t), set(words(t))
+            hit = sum(1 + min(len(w), 6) / 12 for w in stem & base) / len(stem)
+            like = 0.62 * hit + 0.28 * len(stem & base) / len(stem | base) + 0.10 * (c == chapter)
+            parts = (0.50, 0.22, 0.28) if len(answer.replace(" ", "")) <= 6 else (0.38, 0.36, 0.26)
+            rank = round(parts[0] * run + parts[1] * cover + parts[2] * min(like, 1.0), 6)
+            if cover >= 0.45 and run >= 0.5 and len(answer) >= 2:
+                best[query] = min(best.get(query, (9,)), (0 if chapter in (None, c) else 2, -rank, k))
+    targets = q.select(F.col("query").alias("key"), F.col("text").alias("stem"), F.col("answer").alias("text"), "chapter", F.lit(0.45).alias("least"))
+    got = {r["key"]: (r["unit"], r["rank"]) for r in Index(u, WORDS).find(targets).collect()}
     assert {k: v[0] for k, v in got.items()} == {k: v[2] for k, v in best.items()} and got[1][0] == 450
     assert all(abs(v[1] + best[k][1]) < 1e-5 for k, v in got.items())
-    assert {r["query"]: r["unit"] for r in related(q, u, 0.3).collect()} == {k: v[1] for k, v in near.items()}
 
 
 def test_evidence_takes_a_tokeniser_and_a_general_chapter(spark):
-    from studyforge.operators.retrieval import char_grams, rank, related
-
-    u = spark.createDataFrame([(1, "其他", "国防的对象，一是侵略，二是武装颠覆"), (2, "通用", "国防的对象，一是侵略，二是武装颠覆和分裂。"), (3, "一", "没有关系")], "unit long, chapter string, sentence string")
-    q = spark.createDataFrame([(1, "国防的对象一是侵略", "一是侵略", "一")], "query long, text string, answer string, chapter string")
-    assert [r["unit"] for r in rank(q, u, tokens=char_grams, general="通用").collect()] == [2]
-    assert [r["query"] for r in related(q, u, 0.3, char_grams).collect()] == [1]
+    from studyforge.operators.index import CJK, Index
+
+    u = spark.createDataFrame([(1, "其他", "国防的对象，一是侵略，二是武装颠覆"), (2, "通用", "国防的对象，一是侵略，二是武装颠覆和分裂。"), (3, "一", "没有关系"), (4, "一", "一是侵略是什么？")], "unit long, chapter string, sentence string")
+    q = spark.createDataFrame([(1, "国防的对象一是侵略", "一是侵略", "一", 0.45)], "key long, stem string, text string, chapter string, least double")
+    i = Index(u, CJK)
+    assert [(r["unit"], r["pool"]) for r in i.find(q, general="通用").collect()] == [(2, 1)]
+    # the chapter's own unit shares a gram with the stem, so others are not related
+    assert {r["unit"] for r in i.related(q.withColumn("least", F.lit(0.3))).collect()} == {4}
