@@ -1,10 +1,13 @@
 """Nulls in any column, empty and long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import itertools
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from studyforge.llm import stages
+from studyforge.llm import exact_dedup, stages
 from studyforge.llm.exact_dedup import exact_groups
 from studyforge.llm.fingerprints import compare_with_next, edited_branches, fingerprint_texts
 from studyforge.llm.html_text import main_text
@@ -183,7 +186,7 @@ def test_memory_is_bounded_by_rows_and_trigrams():
 
     import numpy as np
 
-    from studyforge.llm import exact_dedup, language_id, quality
+    from studyforge.llm import language_id, quality
     from studyforge.llm.common import slices
 
     rng = np.random.default_rng(1)
@@ -206,10 +209,42 @@ def test_memory_is_bounded_by_rows_and_trigrams():
         quality.features(b.column(0).to_pylist())
     assert tracemalloc.get_traced_memory()[1] < 300e6
     tracemalloc.stop()
-    forest = exact_dedup.Forest(exact_dedup._append, 96_000_000)
+    trie = exact_dedup.RadixTrie(96_000_000, itertools.count())
     for i in range(200_000):
-        forest.add(b"tag", b"body", [(i, 4)])
-    assert [len(members) for _, _, members in forest.drain()] == [200_000]
+        assert trie.add(b"body", b"tag", 4, 200_000 - i, 1, (i,)) == 0
+    assert [(key, o.rows, o.id, m) for key, o, m in trie.drain()] == [(b"body", 200_000, 1, None)] and trie.held < 1000
+
+
+@pytest.mark.parametrize("kind", ["words", "chain", "prefix", "long"])
+def test_trie_spills_subtrees_and_keeps_every_owner(kind):
+    """Owners and rows under a tight budget equal those of a dict, subtrees spilled again and again and within one another."""
+    rng = random.Random(3)
+    make = {
+        "words": lambda: bytes(rng.choices(b"abcd", k=rng.randint(0, 9))),
+        "chain": lambda: b"a" * rng.randint(0, 300),
+        "prefix": lambda: b"p" * 400 + bytes(rng.choices(b"xyz", k=rng.randint(0, 7))) + b"q" * 50,
+        "long": lambda: bytes([rng.randint(65, 70)]) * 9_000 + bytes(rng.choices(b"xy", k=3)),
+    }[kind]
+    trie, want, told, ends = exact_dedup.RadixTrie(6_000, itertools.count()), {}, {}, {}
+    for i in range(4_000):
+        key, chars, doc_id = make(), rng.randint(1, 3), rng.choice([None, *range(50)])
+        rank = (-chars, doc_id is None, doc_id or 0)
+        old = want.get(key)
+        want[key] = (min(rank, old[0]) if old else rank, (old[1] if old else 0) + 1)
+        number = trie.add(key, b"t", chars, doc_id, 1, (i, key))
+        if number is not None:
+            told[i] = (number, key)
+        assert trie.held <= 6_000 or trie.owners <= 1 or kind == "long"
+    assert trie.spilled > (1 if kind == "chain" else 3)
+    got = {}
+    for key, owner, member in trie.drain():
+        if key is None:
+            told[member[0]] = (owner, member[1])
+        else:
+            assert key not in got and owner.number not in ends
+            got[key], ends[owner.number] = ((-owner.chars, owner.id is None, owner.id or 0), owner.rows), key
+    assert got == want
+    assert sorted(told) == list(range(4_000)) and all(ends[number] == key for number, key in told.values())
 
 
 def test_dedup_spills_and_short_digests_give_the_same_groups(spark):
