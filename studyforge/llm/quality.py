@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ RANK = 64
 NEAREST = 25
 POWER = 6
 THRESHOLD = 0.3
-BATCH_BYTES = 1_500_000
+BATCH_BYTES = 500_000
 #: Texts whose features, a dense row each, are held at a time.
 BATCH_ROWS = 1_000
 
@@ -176,19 +177,10 @@ def good_documents(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model does not reject, with docs' columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        import pandas as pd
-
-        out, part, size = [], [], 0
-        for t in texts:
-            part.append(t or "")
-            size += len(part[-1])
-            if size > BATCH_BYTES or len(part) >= BATCH_ROWS:
-                out.append(shared.value.score(features(part)))
-                part, size = [], 0
-        if part:
-            out.append(shared.value.score(features(part)))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [shared.value.score(features([t or "" for t in b.column(0).to_pylist()])) for b in slices(whole, "text", BATCH_BYTES, BATCH_ROWS)]
+        return pa.array(np.concatenate(parts), pa.float64())
 
     return docs.where(score(F.col("text").cast("string")) >= THRESHOLD)
