@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import CJK, clean, grams, text, words
+from ..functions.rewrites import clean_evidence
+from ..functions.text import CJK, grams, text, words
 from .audit import first_reason
 
 #: Fixed values.
@@ -63,7 +64,7 @@ def merge_web(base: DataFrame, incoming: DataFrame, allowed: list[str], letters:
     """
     b = base.select("id", "stem", F.col("src").alias("_src"), F.col("url").alias("_url"), (text("reason") != "").alias("_has"), F.lit(True).alias("_known"))
     url = F.trim(text("url"))
-    rows = incoming.withColumns({"url": url, "reason": clean(F.col("reason"))}).join(b, "id", "left")
+    rows = incoming.withColumns({"url": url, "reason": clean_evidence(F.col("reason"))}).join(b, "id", "left")
     good = authoritative(F.col("url"), allowed) & F.col("url").rlike("^https?://")
     better = (F.col("_src") == "web") & ~authoritative(text("_url"), allowed) & good
     gates = {

@@ -12,6 +12,7 @@ from ..operators import progress as P
 from ..operators import upsert
 from ..sources import bindings as B
 from .catalog import ORACLES, register
+from .texts import evidence_sql
 
 #: The parts seen as bank rows, in expressions that Spark and DuckDB both read; ARR stands for the list constructor.
 FIELDS = {
@@ -190,14 +191,14 @@ WEB_ROWS = {
     "found": "page_id % 7 <> 0",
     "confidence": "CASE page_id % 9 WHEN 0 THEN 'none' WHEN 1 THEN 'High' ELSE 'low' END",
     "url": "url",
-    "reason": "CASE page_id % 4 WHEN 0 THEN 'too short' WHEN 1 THEN 'every small cold widget is new' WHEN 2 THEN 'of a large hot gadget' ELSE 'nothing of the kind is said' END",
+    "reason": "CASE page_id % 4 WHEN 0 THEN 'too short' WHEN 1 THEN 'every small cold widget is new' WHEN 2 THEN '3. of a large hot gadget 。。' ELSE 'nothing of the kind is said' END",
     "disputed": "page_id % 10 = 3",
 }
 OVERLAP = r"len(list_intersect({}, {})) > 0"
 RUNS = "list_filter(list_transform(range(1, greatest(length({0}) - 1, 1)), lambda i: substr({0}, i, 3)), lambda g: regexp_full_match(g, '[\\p{{L}}\\p{{N}}]{{3}}'))"
 STRONG = r"(regexp_matches({0}, '^https?://') AND (lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) = 'example.org' OR lower(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1)) LIKE '%.example.org'))"
 WEB = f"""WITH base AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WEB_BASE.items())} FROM part),
-i AS (SELECT {', '.join(f'{e} AS {c}' for c, e in WEB_ROWS.items())} FROM pages),
+i AS (SELECT {', '.join(f'{evidence_sql(e) if c == "reason" else e} AS {c}' for c, e in WEB_ROWS.items())} FROM pages),
 j AS (SELECT i.*, b.id IS NOT NULL AS known, b.stem, b.src, b.reason AS had, b.url AS before FROM i LEFT JOIN base b USING (id)),
 r AS (SELECT *, CASE WHEN NOT known THEN 'unknown id' WHEN had <> '' AND NOT (src = 'web' AND NOT {STRONG.format('before')} AND {STRONG.format("coalesce(url, '')")}) THEN 'has evidence' WHEN NOT found THEN 'not found'
   WHEN NOT {STRONG.format("coalesce(url, '')")} THEN 'source not allowed' WHEN lower(confidence) NOT IN ('high', 'medium', 'low') THEN 'unknown confidence' WHEN length(reason) < 12 THEN 'too short'
