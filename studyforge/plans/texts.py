@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rewrites as R
+from ..operators import rewriting
 from ..operators.derived import derived
 from ..operators.outline import outline
 from ..sources import bindings as B
+from ..sources import commits
 from .catalog import register
 
 HAN, GAP = r"\x{4e00}-\x{9fff}", r"[ \t\x{3000}]+"
@@ -136,3 +138,46 @@ SELECT 'judge' AS kind, CAST(no AS INTEGER) AS no, item, stem, answer FROM j WHE
 def derived_items(spark, sf):
     rows = B.table(spark, sf, "part").select(*[F.expr(e.replace("ARR(", "array(")).alias(c) for c, e in ITEMS.items()])
     return derived(rows, "item")
+
+
+#: The parts as bank rows whose reasons hold outdated phrases, two rows to a key here and there.
+REASONS = {
+    "id": "p_partkey - CASE WHEN p_partkey % 19 = 1 THEN 1 ELSE 0 END",
+    "right": "CASE p_partkey % 5 WHEN 0 THEN ARR('A') WHEN 1 THEN ARR('B', 'C') WHEN 2 THEN NULL ELSE ARR('D') END",
+    "a": "CASE p_partkey % 6 WHEN 0 THEN '与正确项 B/ C 表述相近、容易混淆，注意区分限定语。' || p_name WHEN 1 THEN '教材中仅零星出现，不是本考点的规范表述。' WHEN 2 THEN '该说法在本软件核对过的教材语料中查不到，属于为本题设置的干扰项。' WHEN 3 THEN NULL ELSE p_type END",
+    "b": "CASE p_partkey % 7 WHEN 0 THEN '该说法教材中未出现或不属本考点的规范表述。' WHEN 1 THEN p_name || '教材中仅零星出现，不是本考点的规范表述。' WHEN 2 THEN '与正确项A表述相近、容易混淆，注意区分限定语。' ELSE p_brand END",
+}
+REASON_ROWS = f"""i AS (SELECT p_partkey AS row, {', '.join(f"{e.replace('ARR(', 'list_value(')} AS \"{c}\"" for c, e in REASONS.items())} FROM part),
+e AS (SELECT row, id, 'A' AS k, "right" AS ok, a AS v FROM i UNION ALL SELECT row, id, 'B', "right", b FROM i),
+s AS (SELECT *, regexp_replace(v, '{rewriting.WRONG_REFERENCE}', '{rewriting.NEUTRAL_REFERENCE}', 'g') AS v1, replace(v1, '{rewriting.STALE}', '{rewriting.NEUTRAL_STALE}') AS v2, coalesce(list_contains(ok, k) AND v2 IN ('{rewriting.NOT_IN_CORPUS}', '{rewriting.NEUTRAL_STALE}'), false) AS denied, CASE WHEN denied THEN '{rewriting.OF_RIGHT_OPTION}' ELSE v2 END AS v3 FROM e)"""
+
+
+def _reasons(spark, sf):
+    rows = B.table(spark, sf, "part").select(*[F.expr(e.replace("ARR(", "array(")).alias(c) for c, e in REASONS.items()])
+    return rows.select("id", "right", F.create_map(F.lit("A"), "a", F.lit("B"), "b").alias("why"))
+
+
+@register(
+    "rewrite_report",
+    f"""WITH {REASON_ROWS}
+SELECT 'reference' AS rule, count(*) FILTER (regexp_matches(v, '{rewriting.WRONG_REFERENCE}')) AS n FROM s UNION ALL SELECT 'stale', count(*) FILTER (contains(v1, '{rewriting.STALE}')) FROM s UNION ALL SELECT 'right option denied', count(*) FILTER (denied) FROM s""",
+)
+def rewrite_report(spark, sf):
+    return rewriting.report(_reasons(spark, sf))
+
+
+@register("reasons_rewritten", f"WITH {REASON_ROWS} SELECT id, k AS letter, v3 AS said FROM s")
+def reasons_rewritten(spark, sf):
+    return rewriting.rewrite(_reasons(spark, sf)).select("id", F.explode("why").alias("letter", "said"))
+
+
+@register(
+    "commit_check",
+    f"""WITH {REASON_ROWS},
+w AS (SELECT row, coalesce(bool_or(regexp_matches(v3, '{rewriting.WRONG_REFERENCE}')), false) AS a, coalesce(bool_or(contains(v3, '{rewriting.STALE}')), false) AS b, coalesce(bool_or(list_contains(ok, k) AND (contains(v3, '{rewriting.NOT_IN_CORPUS}') OR contains(v3, '{rewriting.NEUTRAL_STALE}'))), false) AS c FROM s GROUP BY row)
+SELECT 'wrong references left' AS "check", count(*) FILTER (a) AS n FROM w UNION ALL SELECT 'stale phrases left', count(*) FILTER (b) FROM w UNION ALL SELECT 'right options denied', count(*) FILTER (c) FROM w
+UNION ALL SELECT 'keys repeated', count(*) FROM (SELECT id FROM i GROUP BY id HAVING count(*) > 1)""",
+)
+def commit_check(spark, sf):
+    """What a commit of the rewritten rows would be refused for, as a dry run tells it."""
+    return commits.check(rewriting.rewrite(_reasons(spark, sf)), ["id"], rewriting.faults())
