@@ -94,3 +94,12 @@ def longest_run(a: Column, b: Column) -> Column:
 def cover_score(option: Column, hay: Column) -> Column:
     """Longest run, of three characters at least, over the option's length; shorter options count when they stand there as a word."""
     return F.pandas_udf(_cover, "double")(option, hay)
+
+
+def _han_run(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([han_run(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+
+def longest_han_run(a: Column, b: Column) -> Column:
+    """Length of the longest run of Han characters that two texts share."""
+    return F.pandas_udf(_han_run, "int")(a, b)

@@ -21,4 +21,4 @@ def register(name: str, oracle: str | None = None):
     return put
 
 
-from . import bank, corpus, evidence, learning, papers, sessions, texts  # noqa: E402,F401  they register their queries
+from . import bank, corpus, evidence, explanations, learning, papers, sessions, texts  # noqa: E402,F401  they register their queries
