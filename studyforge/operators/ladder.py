@@ -84,7 +84,7 @@ def negative_candidates(q: DataFrame, index: Index) -> DataFrame:
     hits = contained(squeezed, listed, "unit", "squeezed").join(listed, "term").groupBy("question", F.col("id").alias("unit")).agg(F.count(F.lit(1)).alias("listed")).where("listed >= 2")
     words = F.filter(g.keywords(F.when(c("concept") != "", c("concept")).otherwise(c("stem"))), lambda k: F.length(k) >= 3)
     own = asked.select("question", "concept", "correct", words.alias("named"), F.col("chapter").alias("wanted"), g.keywords(c("stem")).alias("keywords"), g.base(c("stem")).alias("own"))
-    full = hits.join(own, "question").join(index.units, "unit").where(~asks(c("sentence")))
+    full = index.seen(hits).join(own, "question").where(~asks(c("sentence")))
     denied = F.contains(F.substring("sentence", 1, 6), F.lit("不")) & F.contains("sentence", "correct")
     named = F.size(F.filter("named", lambda k: g.has_keyword(k, c("sentence"), c("base"))))
     inside = (T.squeeze(c("correct")) != "") & F.contains(T.squeeze(c("sentence")), T.squeeze(c("correct")))
