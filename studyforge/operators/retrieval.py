@@ -1,8 +1,7 @@
 """Evidence retrieval: an inverted index of grams with rarity weights, candidates, ranking and screening.
 
 The tokeniser is a parameter: character grams suit Chinese text, word grams Latin text.
-Frequent grams weigh less and are never dropped; the posting join is on the gram, which
-adaptive execution splits where a gram is skewed.
+Frequent grams weigh less and are never dropped; a unit's matches are summed in its row (see matching.py).
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import gram_weight, norm_gram, squeeze, words
+from .folds import stored
+from .matching import best, summed
 
 POWER = 1.6
 MISSING = 0.05
@@ -41,22 +42,22 @@ def weights(postings_: DataFrame, units: DataFrame, power: float = POWER) -> Dat
     return df.join(F.broadcast(total)).select("gram", "hits", share.alias("df"), gram_weight(share, power).alias("weight"))
 
 
-def candidates(queries: DataFrame, postings_: DataFrame, most: int = 200, tokens=word_grams) -> DataFrame:
-    """query, unit, hits, place: the units that share most grams with a query (query, text), ties by unit."""
-    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("gram"))
-    hits = q.join(postings_, "gram").groupBy("query", "unit").agg(F.count(F.lit(1)).alias("hits"))
-    place = F.row_number().over(W.partitionBy("query").orderBy(F.col("hits").desc(), "unit"))
-    return hits.withColumn("place", place).where(F.col("place") <= most)
+def candidates(queries: DataFrame, units: DataFrame, most: int = 200, tokens=word_grams) -> DataFrame:
+    """query, unit, hits, place: the units (unit, sentence) that share most grams with a query (query, text), ties by unit."""
+    one = F.lit(1.0)
+    wants = queries.select(F.col("query").alias("key"), F.explode(tokens(F.col("text"))).alias("gram"), one.alias("weight"), one.alias("least"))
+    pairs = summed(units.select("unit", tokens(F.col("sentence")).alias("grams")), wants, most=most)
+    return best(pairs, most).select(F.col("key").alias("query"), "unit", F.col("have").cast("long").alias("hits"), "place")
 
 
-def weighted_coverage(queries: DataFrame, postings_: DataFrame, weights_: DataFrame, most: int = 400, tokens=word_grams) -> DataFrame:
+def weighted_coverage(queries: DataFrame, units: DataFrame, weights_: DataFrame, most: int = 400, tokens=word_grams) -> DataFrame:
     """query, unit, cover, place: weight of the query's grams that a unit has over the weight of all of them."""
-    q = queries.select("query", F.explode(tokens(F.col("text"))).alias("gram")).join(weights_.select("gram", "weight"), "gram", "left").withColumn("weight", F.coalesce("weight", F.lit(MISSING)))
-    whole = q.groupBy("query").agg(F.sum("weight").alias("whole"))
-    have = q.join(postings_, "gram").groupBy("query", "unit").agg(F.sum("weight").alias("have"))
-    cover = F.round(F.col("have") / F.col("whole"), 9)
-    out = have.join(whole, "query").select("query", "unit", cover.alias("cover"))
-    return out.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.col("cover").desc(), "unit"))).where(F.col("place") <= most)
+    q = queries.select(F.col("query").alias("key"), F.explode(tokens(F.col("text"))).alias("gram")).join(weights_.select("gram", "weight"), "gram", "left").withColumn("weight", F.coalesce("weight", F.lit(MISSING)))
+    q = stored(q.select("key", "gram", "weight"), "coverage-wants")
+    whole = q.groupBy("key").agg(F.sum("weight").alias("whole"))
+    wants = q.join(whole, "key").select("key", "gram", (F.col("weight") / F.col("whole")).alias("weight"), F.lit(0.0).alias("least"))
+    pairs = summed(units.select("unit", tokens(F.col("sentence")).alias("grams")), wants, most=most)
+    return best(pairs.select("key", "unit", F.round("have", 9).alias("cover")), most, "cover").withColumnRenamed("key", "query")
 
 
 def screen(evidence: DataFrame, least_run: int = 4, least_cover: float = 0.55) -> DataFrame:

@@ -83,3 +83,20 @@ def test_searches_write_no_table_of_postings(spark, monkeypatch):
     q = spark.createDataFrame([(1, "国防", ["军事", "的"])], "question long, stem string, options array<string>")
     assert relevance.verdict_pool(q, index, 4, 8).count() == 8
     assert max(sizes.values()) <= len(units)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().toString()
+
+
+def test_retrieval_hashes_no_pairs(spark):
+    """Pairs of query and unit are not aggregated by a plan's node, and the best come out whatever a task holds."""
+    from studyforge.operators import retrieval
+
+    units = spark.createDataFrame([(u, f"word{u % 7} other{u % 3} same") for u in range(60)], "unit long, sentence string")
+    q = spark.createDataFrame([(1, "word3 same"), (2, "other1 none")], "query long, text string")
+    top = retrieval.candidates(q, units, 12)
+    assert "Aggregate" not in _plan(top)
+    got = [(r["unit"], r["hits"]) for r in top.where("query = 1").orderBy("place").collect()]
+    both = [u for u in range(60) if u % 7 == 3]
+    assert got == [(u, 2) for u in both] + [(u, 1) for u in range(60) if u not in both][: 12 - len(both)]
