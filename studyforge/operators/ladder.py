@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.predicates import negative
+from .folds import stored
 from .index import Index, asks
+from .matching import beside
 from .terms import contained
 
 #: Rungs in order. Cover that an answer must have on its rung, and score that a related unit must have by the question's kind.
@@ -84,7 +86,7 @@ def negative_candidates(q: DataFrame, index: Index) -> DataFrame:
     hits = contained(squeezed, listed, "unit", "squeezed").join(listed, "term").groupBy("question", F.col("id").alias("unit")).agg(F.count(F.lit(1)).alias("listed")).where("listed >= 2")
     words = F.filter(g.keywords(F.when(c("concept") != "", c("concept")).otherwise(c("stem"))), lambda k: F.length(k) >= 3)
     own = asked.select("question", "concept", "correct", words.alias("named"), F.col("chapter").alias("wanted"), g.keywords(c("stem")).alias("keywords"), g.base(c("stem")).alias("own"))
-    full = index.seen(hits).join(own, "question").where(~asks(c("sentence")))
+    full = index.seen(stored(hits, "ladder-hits")).join(own, "question").where(~asks(c("sentence")))
     denied = F.contains(F.substring("sentence", 1, 6), F.lit("不")) & F.contains("sentence", "correct")
     named = F.size(F.filter("named", lambda k: g.has_keyword(k, c("sentence"), c("base"))))
     inside = (T.squeeze(c("correct")) != "") & F.contains(T.squeeze(c("sentence")), T.squeeze(c("correct")))
@@ -151,13 +153,12 @@ def explain(questions: DataFrame, index: Index, general: str | None = None, glue
 
     A short question whose best related unit only asks falls back to the bank's own answer, as one without any does.
     """
-    from .folds import stored
-
     q = stored(prepared(questions, glue), "ladder-questions").where(F.col("kind").isin("single", "multi", "judge", "fill", "short"))
     first = F.row_number().over(W.partitionBy("question").orderBy("rung", "pool", F.desc("rank"), "unit"))
     best = candidates(q, index, general).withColumn("_t", first).where("_t = 1").select("question", "rung", "unit")
     sentences = index.units.select("unit", "sentence", F.col("chapter").alias("own"))
-    full = q.join(best, "question", "left").join(sentences, "unit", "left")
+    # the best units are few, so they are sent to the units' texts
+    full = q.join(beside(stored(best, "ladder-best"), sentences), "question", "left")
     manual = F.col("old").rlike(MANUAL)
     kept = F.col("kind").isin("judge", "fill") & (F.col("old") != "") & ~manual
     useless = (F.col("kind") == "short") & F.coalesce(asks(F.col("sentence")), F.lit(False))

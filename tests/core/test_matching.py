@@ -100,3 +100,25 @@ def test_retrieval_hashes_no_pairs(spark):
     got = [(r["unit"], r["hits"]) for r in top.where("query = 1").orderBy("place").collect()]
     both = [u for u in range(60) if u % 7 == 3]
     assert got == [(u, 2) for u in both] + [(u, 1) for u in range(60) if u not in both][: 12 - len(both)]
+
+
+@pytest.mark.parametrize("few", [1_000_000, 7, 1])
+def test_pairs_meet_their_units_without_a_shuffle_of_texts(rows, monkeypatch, few):
+    """One broadcast, several, or a shuffled join beyond SLICES: the rows of a plain join."""
+    df, *_ = rows
+    pairs = df.sparkSession.createDataFrame([(k, u) for k in range(3) for u in range(0, 30, 2)] + [(9, 999)], "key long, unit long")
+    want = sorted(tuple(r) for r in pairs.join(df, "unit").select("key", "unit", F.size("grams")).collect())
+    monkeypatch.setattr(M, "FEW", few)
+    got = M.beside(pairs, df)
+    assert sorted(tuple(r) for r in got.select("key", "unit", F.size("grams")).collect()) == want
+    if few > 1:
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_grams_are_cut_once(spark, rows):
+    """No filter on the size of the cut grams stands before the lookup, as it would cut them again for each unit."""
+    want_df = rows[1]
+    units = spark.createDataFrame([(1, "a b"), (2, "")], "unit long, sentence string").select("unit", F.array_distinct(F.split("sentence", " ")).alias("grams"))
+    got = M.summed(units, want_df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
+    assert {r["unit"] for r in got.collect()} <= {1}
