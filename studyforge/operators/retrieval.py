@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import gram_weight, norm_gram, squeeze, words
 from .folds import stored
-from .matching import best, summed
+from .matching import FEW, best, summed
+from .terms import contained
 
 POWER = 1.6
 MISSING = 0.05
@@ -69,26 +70,21 @@ def screen(evidence: DataFrame, least_run: int = 4, least_cover: float = 0.55) -
     return evidence.withColumn("run", run).withColumn("cover", coverage(characters(F.col("answer")), characters(F.col("sentence")))).withColumn("keep", (F.col("run") >= least_run) | (F.col("cover") >= least_cover))
 
 
-def containing(left: DataFrame, units: DataFrame, size: int = 3) -> DataFrame:
+def containing(left: DataFrame, units: DataFrame) -> DataFrame:
     """query, term, unit, sentence: every unit that contains the query's term (query, term), in letters of any case.
 
-    A unit with the term has all its grams of `size` characters, so units are found by the
-    rarest of them and tested for the whole term; shorter terms, of which there are few
-    different ones, are compared with every unit.
+    The units are read once by an automaton of all terms (see terms.py), whose hits leave with their sentence; neither
+    texts nor grams are shuffled. The empty term is in every unit.
     """
-    from ..functions.text import grams
-
     low = left.where("term IS NOT NULL").withColumn("low", F.lower("term"))
-    terms = low.select("low").distinct()
-    texts = units.select("unit", "sentence", F.lower("sentence").alias("text"))
-    own = terms.where(F.length("low") >= size).select("low", F.explode(grams(F.col("low"), size)).alias("gram"))
-    spread = texts.select("unit", F.explode(grams(F.col("text"), size)).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
-    hits = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("hits"))
-    rarest = own.join(hits, "gram", "left").groupBy("low").agg(F.min_by("gram", F.struct(F.coalesce("hits", F.lit(0)), "gram")).alias("gram"))
-    long = rarest.join(spread, "gram").join(texts, "unit").where(F.contains("text", "low"))
-    short = texts.join(F.broadcast(terms.where(F.length("low") < size)), F.contains("text", "low"))
-    found = long.select("low", "unit", "sentence").unionByName(short.select("low", "unit", "sentence"))
-    return low.join(found, "low").select("query", "term", "unit", "sentence")
+    texts = units.where("sentence IS NOT NULL").select("unit", "sentence", F.lower("sentence").alias("text"))
+    hits = contained(texts, low.select(F.col("low").alias("term")), "unit", "text", ["sentence"])
+    found = hits.select(F.col("term").alias("low"), F.col("id").alias("unit"), "sentence")
+    pairs = found.join(F.broadcast(low), "low") if low.count() <= FEW else found.join(low, "low")
+    empty = low.where("low = ''").limit(1).count()
+    if empty:
+        pairs = pairs.unionByName(texts.select("unit", "sentence").join(F.broadcast(low.where("low = ''"))))
+    return pairs.select("query", "term", "unit", "sentence")
 
 
 def first_units(pairs: DataFrame, most: int = 4) -> DataFrame:

@@ -47,11 +47,13 @@ def term_blocks(terms: DataFrame, column: str = "term") -> Iterator[tuple[str, .
             yield got
 
 
-def contained(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, term: every distinct term (column term) that a text contains; null texts contain none."""
+def contained(texts: DataFrame, terms: DataFrame, id_column: str, text_column: str, along: list[str] | None = None) -> DataFrame:
+    """id, term and the columns `along` of every distinct term (column term) that a text contains; null texts contain none."""
     spark = texts.sparkSession
-    kind = texts.schema[id_column].dataType.simpleString()
-    rows, out = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).where("text IS NOT NULL"), None
+    own = [F.col(c) for c in along or []]
+    rows, out = texts.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *own).where("text IS NOT NULL"), None
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", term string"
+    names = [*rows.drop("text").columns, "term"]
 
     for block in term_blocks(terms):
 
@@ -63,11 +65,12 @@ def contained(texts: DataFrame, terms: DataFrame, id_column: str, text_column: s
                     own = {v for _, v in found.iter(t)}
                     at += [k] * len(own)
                     hits += [block[v] for v in sorted(own)]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(hits, pa.string())], ["id", "term"])
+                kept = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(kept.columns) if i != 1), pa.array(hits, pa.string())], names)
 
-        part = rows.mapInArrow(run, f"id {kind}, term string")
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], f"id {kind}, term string") if out is None else out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def first_key(texts: DataFrame, keys: DataFrame, id_column: str, text_column: str) -> DataFrame:

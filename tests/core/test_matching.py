@@ -122,3 +122,16 @@ def test_grams_are_cut_once(spark, rows):
     got = M.summed(units, want_df)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("array_distinct") == 1
     assert {r["unit"] for r in got.collect()} <= {1}
+
+
+def test_units_with_a_term_are_found_without_a_shuffle(spark):
+    """Short, empty, repeated and upper-case terms too; neither texts nor grams are exchanged."""
+    from studyforge.operators import retrieval
+
+    units = [(1, "The Cat sat"), (2, "a cat"), (3, None), (4, "İ no"), (5, "")]
+    left = [(1, "CAT"), (2, "a"), (3, "cat s"), (4, "cat"), (5, ""), (6, None), (7, "dog")]
+    got = retrieval.containing(spark.createDataFrame(left, "query int, term string"), spark.createDataFrame(units, "unit long, sentence string"))
+    want = {(q, u, s) for q, t in left for u, s in units if t is not None and s is not None and t.lower() in s.lower()}
+    assert {(r["query"], r["unit"], r["sentence"]) for r in got.collect()} == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
