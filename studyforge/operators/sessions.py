@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import to_int
+from .folds import stored
 
 #: Letters of options, orders of a session, and what JavaScript's trim takes for white space.
 LETTERS = "ABCDEFGH"
@@ -57,8 +58,10 @@ def truthy(v: Column) -> Column:
 
 def _heads(docs: DataFrame, version: int) -> DataFrame:
     """session, doc, ids of documents whose own fields are right."""
-    ids = _strings(_get(F.col("doc"), "$.ids"))
-    rows = docs.select("session", F.try_parse_json("json").alias("doc")).withColumn("ids", ids)
+    # each document is parsed once: nothing is moved below an explode, while a filter on a plain column would repeat the parse
+    parsed = docs.select("session", F.explode(F.array(F.try_parse_json("json"))).alias("doc"))
+    told = F.struct(_strings(_get(F.col("doc"), "$.ids")).alias("ids"))
+    rows = parsed.select("session", "doc", F.explode(F.array(told)).alias("t")).select("session", "doc", "t.ids")
     return rows.where((_number(_get(F.col("doc"), "$.ver")) == version) & (F.size("ids") > 0) & _text(_get(F.col("doc"), "$.order")).isin(*ORDERS))
 
 
@@ -77,12 +80,11 @@ def restore_sessions(docs: DataFrame, bank: DataFrame, version: int = 1, title:
     the list, and an absent or empty title becomes the one given.
     """
     heads = _heads(docs, version)
-    whole = _members(heads, bank).select("session").distinct()
     d = F.col("doc")
     as_text = lambda path: _get(d, path, "string")
     own = F.when(truthy(_get(d, "$.title")), as_text("$.title"))
     place = F.least(F.greatest(to_int(as_text("$.i")), F.lit(0)), F.size("ids") - 1)
-    return heads.join(whole, "session", "left_semi").select(
+    fields = heads.select(
         "session",
         "ids",
         place.cast("int").alias("place"),
@@ -91,6 +93,9 @@ def restore_sessions(docs: DataFrame, bank: DataFrame, version: int = 1, title:
         to_int(as_text("$.seed")).alias("seed"),
         truthy(_get(d, "$.wrongMode")).alias("wrong_mode"),
     )
+    # written, since they are read for the listed ids and again for the result
+    fields = stored(fields, "sessions")
+    return fields.join(_members(fields, bank).select("session").distinct(), "session", "left_semi")
 
 
 def _picked_ok(v: Column) -> Column:

@@ -43,3 +43,13 @@ def test_results_need_a_verdict_and_an_answer(spark):
     rows = S.session_entries(*frames(spark, *[ALL | {"res": r} for r in res])).collect()
     got = sorted((r["session"], r["question"], json.loads(r["value"]), r["ok"], r["self"], r["ts"]) for r in rows)
     assert got == [(0, "j", False, False, False, 0), (0, "s", "A", True, True, 7), (0, "t", "", True, True, 0), (1, "f", [" ", "x"], False, False, 0), (1, "m", ["A"], True, False, 0)]
+
+
+def test_documents_are_parsed_once(spark):
+    """The plan of the valid heads has one parse of a document, not one for each condition on it."""
+    from studyforge.operators import sessions
+
+    docs = spark.createDataFrame([(1, '{"ver":1,"order":"seq","ids":["a"]}'), (2, None)], "session long, json string")
+    heads = sessions._heads(docs, 1)
+    assert [r["session"] for r in heads.select("session").collect()] == [1]
+    assert heads._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + heads._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
