@@ -63,9 +63,7 @@ def _make_encoder(path: str, end_id: int):
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     kind = "H" if _ids_are_short(path, end_id) else "I"
     end = array(kind, [end_id]).tobytes()
-    # a piece with white space at an end, beside the space that it was cut at, or with a special token's text
-    odd = re.compile("|".join([r"^ ?\s", r"\s\Z", *(re.escape(s) for s in specials if " " not in s)]))
-    spaced = [s for s in specials if " " in s]
+    odd = re.compile(r" \s|\s ")
     cache: dict[str, bytes] = {}
     held = 0
 
@@ -88,12 +86,6 @@ def _make_encoder(path: str, end_id: int):
         for w, stem, tail in split:
             cache[w] = cache[stem] + tails[tail]
 
-    def known_not(pieces: list[str]) -> set[str]:
-        return {w for w in pieces if w not in cache}
-
-    def plain(piece: str) -> bool:
-        return odd.search(piece) is None
-
     def run(texts: list[str]) -> list[bytes]:
         nonlocal held
         if len(cache) > WORDS_KEPT or held > CHARS_KEPT:
@@ -101,17 +93,15 @@ def _make_encoder(path: str, end_id: int):
             held = 0
         cuts, missing = [], set()
         for text in texts:
-            pieces = None
-            if text and text[0] != " " and text[-1] != " " and "  " not in text and not any(s in text for s in spaced):
+            if text and text[0] != " " and text[-1] != " " and odd.search(text) is None and not any(s in text for s in specials):
                 pieces = text.split(" ")
                 # the first piece has no space before it: its key starts with one, which no other piece does
                 pieces[0] = " " + pieces[0]
-                new = known_not(pieces)
-                if all(map(plain, new)):
-                    missing.update(new)
-                else:
-                    pieces = None
-            cuts.append(pieces)
+                cuts.append(pieces)
+                missing.update(pieces)
+            else:
+                cuts.append(None)
+        missing = {w for w in missing if w not in cache}
         if missing:
             held += sum(map(len, missing))
             learn(missing)
