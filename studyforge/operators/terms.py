@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,6 +106,12 @@ def first_key(texts: DataFrame, keys: DataFrame, id_column: str, text_column: st
     return out if blocks == 1 else out.groupBy("id").agg(F.min("place").alias("place"))
 
 
+@lru_cache(1 << 16)
+def keeps_apart(term: str) -> bool:
+    """Whether a term's occurrences never overlap: no beginning of it is an end of it too."""
+    return not any(term.endswith(term[:k]) for k in range(1, len(term)))
+
+
 def piece_step(term: str, starts: list[int], piece: str) -> list[tuple[int, int]]:
     """What a piece does to the count of a term, for each number s of the term's characters that stand open before it.
 
@@ -112,10 +119,13 @@ def piece_step(term: str, starts: list[int], piece: str) -> list[tuple[int, int]
     starts are the places of all, also overlapping, occurrences inside the piece. Occurrences
     are taken from the left and do not overlap, as if the whole text were one.
     """
-    m, out, known = len(term), [], {}
+    m, out, known, apart = len(term), [], {}, keeps_apart(term)
 
     def rest(pos: int) -> tuple[int, int]:
         """Occurrences from pos on, and the end of the last one."""
+        if apart:
+            i = bisect_left(starts, pos)
+            return (len(starts) - i, starts[-1] + m) if i < len(starts) else (0, pos)
         path = []
         while pos not in known:
             i = bisect_left(starts, pos)
@@ -159,13 +169,14 @@ def whole_counts(texts: DataFrame, terms: DataFrame, order: str, text_column: st
 
         def run(batches, block=block):
             found, steps = automaton(block), [[(0, s) for s in range(len(t))] for t in block]
+            before = [len(t) - 1 for t in block]
 
             def add(piece: str) -> None:
-                starts: dict[int, list[int]] = {}
+                starts: list[list[int]] = [[] for _ in block]
                 for end, v in found.iter(piece):
-                    starts.setdefault(v, []).append(end - len(block[v]) + 1)
+                    starts[v].append(end - before[v])
                 for i, t in enumerate(block):
-                    steps[i] = composed(steps[i], piece_step(t, starts.get(i, []), piece))
+                    steps[i] = composed(steps[i], piece_step(t, starts[i], piece))
 
             held, size = [], 0
             for b in batches:

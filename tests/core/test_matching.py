@@ -135,3 +135,23 @@ def test_units_with_a_term_are_found_without_a_shuffle(spark):
     assert {(r["query"], r["unit"], r["sentence"]) for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_step_does_not_walk_all_occurrences_of_a_term_that_cannot_overlap(monkeypatch):
+    """As many look-ups for 5,000 occurrences as for few; counts and open characters are those of a walk, also for terms that overlap themselves."""
+    from studyforge.operators import terms
+
+    calls = []
+    look = terms.bisect_left
+    monkeypatch.setattr(terms, "bisect_left", lambda a, x: calls.append(x) or look(a, x))
+    assert terms.piece_step("abc", list(range(0, 15000, 3)), "abc" * 5000)[0] == (5000, 0)
+    assert len(calls) <= 3
+    rng = random.Random(4)
+    for term in ("ab", "aab", "aa", "aba", "abc"):
+        for _ in range(200):
+            head, piece = term[: rng.randrange(len(term))], "".join(rng.choices("abc", [4, 3, 1], k=rng.randrange(1, 14)))
+            starts = [i for i in range(len(piece)) if piece.startswith(term, i)]
+            n, rest = terms.piece_step(term, starts, piece)[len(head)]
+            assert n == (head + piece).count(term)
+            left = (head + piece).split(term)[-1]
+            assert rest == max(k for k in range(len(term)) if left.endswith(term[:k]))
