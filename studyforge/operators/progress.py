@@ -148,7 +148,9 @@ def merge_exams(local: DataFrame, incoming: DataFrame, most: int = 50) -> DataFr
     """
     cols = ("exam", "learner", "ts", "total", "correct")
     both = local.select(*cols, F.lit(0).alias("side")).unionByName(incoming.select(*cols, F.lit(1).alias("side"))).where("ts IS NOT NULL AND total > 0")
-    one = both.groupBy("learner", "ts").agg(F.min_by(F.struct("total", "correct"), F.struct("side", "exam")).alias("e"))
+    # older times than a task's `most` newest ones of a learner are left out before rows are dealt by learner
+    newest = both.withColumn("_t", F.dense_rank().over(W.partitionBy("learner").orderBy(F.col("ts").desc()))).where(F.col("_t") <= most)
+    one = newest.groupBy("learner", "ts").agg(F.min_by(F.struct("total", "correct"), F.struct("side", "exam")).alias("e"))
     e = one.select("learner", "ts", "e.total", F.least(F.greatest(F.coalesce("e.correct", F.lit(0)), F.lit(0)), "e.total").alias("correct"))
     e = e.withColumn("score", pct(F.col("correct"), F.col("total")))
     return e.withColumn("place", F.row_number().over(W.partitionBy("learner").orderBy(F.col("ts").desc()))).where(F.col("place") <= most)

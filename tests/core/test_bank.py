@@ -7,6 +7,7 @@ from studyforge.functions import answers, predicates, text
 from studyforge.operators import bank_audit as A
 from studyforge.operators import progress as P
 from studyforge.operators import upsert
+from studyforge.sources import bindings as B
 
 SCHEMA = "id string, num long, type string, stem string, options array<string>, letters array<string>, flag boolean, explanation string, part_answer string, part_note string, why map<string,string>, chapter string, section string, src string, ref string, hard boolean, source string, key_concept string, keywords array<string>, answer string"
 GOOD = {"id": "q-1", "num": 1, "type": "single", "stem": "国防的主体是", "options": ["国家", "军队"], "letters": ["A"], "flag": None, "explanation": "正确答案：A、国家", "part_answer": "A（国家）", "part_note": None, "why": {"B": "军队只是其中一部分"}, "chapter": "one", "section": "s", "src": "bank", "ref": "", "hard": False, "source": "x", "key_concept": "国防", "keywords": ["国防"], "answer": None}
@@ -118,6 +119,23 @@ def test_exams_of_both_sides_local_first(spark):
     assert [(r["ts"], r["correct"], r["score"], r["place"]) for r in P.merge_exams(local, other).orderBy("place").collect()] == [(20, 0, 0, 1), (10, 4, 100, 2)]
 
 
+def test_exam_items_are_dealt_by_their_number(spark, monkeypatch):
+    """A task holds about ITEMS rows however large the tables are, and only the newest times of a learner leave it."""
+    sf = "/root/testdata/sf0.001"
+    items = B.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(B, "ITEMS", items // 8)
+    assert B.exam_items(spark, sf).rdd.getNumPartitions() >= 8
+    s = "exam int, learner int, ts int, total int, correct int"
+    local = spark.createDataFrame([(i, 1, i // 3, 4, i % 5) for i in range(90)], s)
+    other = spark.createDataFrame([(1000 + i, 1, i, 4, 0) for i in range(0, 60, 2)], s)
+    merged = P.merge_exams(local, other, 5)
+    # of one ts the local exam with the smallest id stays
+    assert [(r["ts"], r["correct"], r["place"]) for r in merged.orderBy("place").collect()] == [(58, 0, 1), (56, 0, 2), (54, 0, 3), (52, 0, 4), (50, 0, 5)]
+    merged = P.merge_exams(local, other.where("ts < 20"), 5)
+    assert [(r["ts"], r["correct"], r["place"]) for r in merged.orderBy("place").collect()] == [(t, 3 * t % 5 if 3 * t % 5 < 4 else 4, 30 - t) for t in (29, 28, 27, 26, 25)]
+    assert merged._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 2
+
+
 def test_predicates(spark):
     def one(c):
         return spark.range(1).select(c).first()[0]
