@@ -1,8 +1,8 @@
 """Exact similarity join on word-shingle sets with set-relation skipping.
 
 Documents with equal sets share a vertex. A set's tokens are in one order: hashes ascending,
-after which come those that are frequent in a sample of a fifth of the documents (any order
-gives exact results, so the sample only saves work). Two sets with overlap o or more have
+after which come those that are frequent, counted in all documents (any order gives exact
+results; this one saves work). Two sets with overlap o or more have
 their first common token at a place with o tokens or more from there on in both of them
 (the entry's `slack`), so a set enters the index with its first n - ceil(0.75 * n) + 1
 tokens, and an entry meets another only if both slacks reach the overlap that their sizes
@@ -46,11 +46,15 @@ from .words import mix64, words_of
 SIZE = 5
 #: Tokens of a set by which its pivot is found, and how many of them both must share (smaller sets: all).
 LOWEST, SHARED = 8, 3
-#: Share of the documents in the sample that tells frequent tokens, and how many of its documents hold a frequent token.
-SHARE, FREQUENT = 0.2, 3
+#: How many documents hold a frequent token.
+FREQUENT = 15
+#: Tokens are counted by their low bits, so many name the bucket and so many the token in it; those that agree in them count as one.
+BUCKET_BITS, LOW_BITS = 12, 28
+#: Tokens that a task counts before it passes them on.
+COUNTED = 1 << 21
 #: Greatest bits of the table of frequent tokens (16 MB); where more than a sixteenth as many tokens are frequent, the most frequent ones are told.
 TABLE_BITS = 1 << 27
-#: Entries, as the sample foretells, from which on a list is dealt to several tasks.
+#: Documents with a token from which on its list is dealt to several tasks.
 LIST = 200_000
 #: Shards of a list at most; its entries stand once in each of so many cells.
 SHARDS = 1024
@@ -169,15 +173,61 @@ def describe(docs: DataFrame) -> DataFrame:
     return arrow_map(keyed_texts(docs), run, ABOUT)
 
 
-def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
-    """Bit table of the tokens that FREQUENT or more documents of the sample hold, and the shards of foreseeably long lists."""
-    some = keyed_texts(docs).where(F.pmod("row", F.lit(1 << 30)) < int(SHARE * (1 << 30)))
+def _low(token: np.ndarray) -> np.ndarray:
+    return token.view(np.uint64) & np.uint64((1 << BUCKET_BITS + LOW_BITS) - 1)
 
-    def run(batches) -> Iterator[dict]:
-        for _, texts in _texts(batches):
-            yield {"token": shingles(texts)[1].view(np.int64)}
 
-    counts = arrow_map(some.select("text"), run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT)
+def _count(batches) -> Iterator[dict]:
+    """Counts of a task's tokens, a row for each bucket."""
+
+    def passed(held: list[np.ndarray]) -> dict:
+        low, k = np.unique(_low(np.concatenate(held)), return_counts=True)
+        bucket, first = np.unique(low >> np.uint64(LOW_BITS), return_index=True)
+        ends = np.append(first[1:], len(low)).tolist()
+        low, k = (low & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint32), k.astype(np.uint32)
+        spans = list(zip(first.tolist(), ends, strict=True))
+        return {"bucket": bucket.astype(np.int32), "low": [low[i:j].tobytes() for i, j in spans], "k": [k[i:j].tobytes() for i, j in spans]}
+
+    held, n = [], 0
+    for _, texts in _texts(batches):
+        held.append(shingles(texts)[1])
+        n += len(held[-1])
+        if n >= COUNTED:
+            yield passed(held)
+            held, n = [], 0
+    if n:
+        yield passed(held)
+
+
+def _frequent(batches) -> Iterator[dict]:
+    """Tokens of FREQUENT or more documents, for rows of _count by bucket."""
+
+    def summed(bucket: int, lows: list[bytes], ks: list[bytes]) -> dict:
+        low, k = np.frombuffer(b"".join(lows), np.uint32), np.frombuffer(b"".join(ks), np.uint32)
+        by = np.argsort(low, kind="stable")
+        low, k = low[by], k[by].astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+        k = np.add.reduceat(k, first)
+        often = k >= FREQUENT
+        return {"token": (bucket << LOW_BITS) + low[first][often].astype(np.int64), "k": k[often]}
+
+    key, lows, ks = None, [], []
+    for b in batches:
+        for bucket, low, k in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            if bucket != key and lows:
+                yield summed(key, lows, ks)
+                lows, ks = [], []
+            key = bucket
+            lows.append(low)
+            ks.append(k)
+    if lows:
+        yield summed(key, lows, ks)
+
+
+def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
+    """Bit table of the tokens that FREQUENT or more documents hold, and by their low bits the shards of those whose lists may be long."""
+    parts = arrow_map(keyed_texts(docs).select("text"), _count, "bucket int, low binary, k binary")
+    counts = arrow_map(parts.repartition("bucket").sortWithinPartitions("bucket"), _frequent, "token long, k long")
     tables = Tables()
     counts = tables.cut(counts, "frequent")
     by = sorted(((r["k"], r["n"]) for r in counts.groupBy(F.least("k", F.lit(1000)).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -188,7 +238,7 @@ def frequent_tokens(docs: DataFrame) -> tuple[np.ndarray, dict[int, int]]:
         least, told = k, told + n
     bits = min(TABLE_BITS, 1 << max(10, (16 * told).bit_length()))
     table = bit_table(counts.where(F.col("k") >= least), "token", bits)
-    shards = F.least(F.ceil(F.col("k") / SHARE / LIST), F.lit(SHARDS)).cast("int")
+    shards = F.least(F.ceil(F.col("k") / LIST), F.lit(SHARDS)).cast("int")
     # fewer than all entries / LIST
     long_ = {r["token"]: r["shards"] for r in counts.select("token", shards.alias("shards")).where("shards > 1").collect()}
     tables.clear()
@@ -218,8 +268,9 @@ def _dealt(shards: dict[int, int], token: np.ndarray, **columns: np.ndarray) ->
     count = np.ones(len(token), np.int64)
     if shards:
         names = np.array(sorted(shards), np.int64)
-        at = np.minimum(np.searchsorted(names, token), len(names) - 1)
-        count = np.where(names[at] == token, np.array([shards[k] for k in names.tolist()], np.int64)[at], 1)
+        low = _low(token).view(np.int64)
+        at = np.minimum(np.searchsorted(names, low), len(names) - 1)
+        count = np.where(names[at] == low, np.array([shards[k] for k in names.tolist()], np.int64)[at], 1)
     part = (mix64(columns["g"].view(np.uint64)) % count.astype(np.uint64)).astype(np.int64)
     i = np.repeat(np.arange(len(token)), count)
     other = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
@@ -660,17 +711,20 @@ def _classes(docs: DataFrame) -> DataFrame:
     pairs = pairs.where(F.col("shared") + F.col("rest").cast("long") >= F.col("need")).select("a", "b", "t").join(first, ["a", "b"], "left_anti")
     rest = compared(tables.cut(pairs, "pairs"))
     edges = edges.unionByName(rest.where(linked).select("a", "b"))
-    open_ = tables.cut(_open(first.unionByName(rest), groups), "open")
-    # most open pairs are joined by one of a few members; all members of the others are looked at
+    labels = components(edges, tables)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        one, two = labels.select(F.col("v").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
+        return tables.cut(pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb"), "open")
+
+    # pairs that other links have joined need no look at members; most of the others are joined by one of a few, all of the rest's are looked at
+    open_ = apart(_open(first.unionByName(rest), groups))
     for most in (TRIES, None):
-        if open_.limit(1).count():
-            edges = edges.unionByName(_member_links(open_, members, sets, vertices.select("v", "bits"), most, tables))
-            labels = components(edges, tables)
-            one, two = labels.select(F.col("v").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
-            open_ = tables.cut(open_.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb"), "open")
-        elif most is not None:
-            labels = components(edges, tables)
+        if not open_.limit(1).count():
             break
+        edges = edges.unionByName(_member_links(open_, members, sets, vertices.select("v", "bits"), most, tables))
+        labels = components(edges, tables)
+        open_ = apart(open_)
     out = cut(about.join(labels, "v", "left").select("doc_id", "row", "key", "n", F.coalesce("comp", "v").alias("comp")), "classes")
     tables.clear()
     return out

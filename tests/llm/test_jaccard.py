@@ -112,3 +112,22 @@ def test_boilerplate_below_the_threshold_gives_hardly_any_pair(spark):
         e["comp"], e["bits"] = e["g"], [np.zeros(J.BITS // 64, np.int64)] * len(e)
         pairs = sum(len(rows_["a"]) for rows_ in J._pairs(pa.Table.from_pandas(e, preserve_index=False).to_batches()))
         assert pairs <= n, (shared, pairs)
+
+
+def test_tokens_are_counted_in_all_documents(spark, monkeypatch):
+    """Tokens of FREQUENT documents are told, those of one less are not, and shards follow the whole count, in however many parts it is made."""
+    many, few = J.FREQUENT, J.FREQUENT - 1
+    rows = [(i, f"often o1 o2 o3 o4{' s0 s1 s2 s3 s4' if i < few else ''}") for i in range(many)]
+    rows += [(100 + i, f"single{i} a b c d") for i in range(200)]
+    token = {t: int(J.shingles([t])[1].view(np.int64)[0]) for t in ("often o1 o2 o3 o4", "s0 s1 s2 s3 s4")}
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for counted in (J.COUNTED, 3):
+        monkeypatch.setattr(J, "COUNTED", counted)
+        monkeypatch.setattr(J, "LIST", 4)
+        table, shards = J.frequent_tokens(d)
+        told = J._in_table(table, np.array(list(token.values()), np.int64))
+        assert told.tolist() == [True, False]
+        low = {t: int(J._low(np.array([x], np.int64))[0]) for t, x in token.items()}
+        assert shards == {low["often o1 o2 o3 o4"]: -(-many // 4)}
+        e = J._dealt(shards, np.array([token["often o1 o2 o3 o4"], token["s0 s1 s2 s3 s4"]], np.int64), g=np.array([7, 7]))
+        assert len(e["token"]) == -(-many // 4) + 1
