@@ -19,9 +19,12 @@ Answer-level skipping: sets that share their lowest tokens with a pivot are comp
 first. Those that link to it become its members; only what they differ in (plus: tokens that
 the pivot lacks; minus: the pivot's that they lack) is kept. The pivot enters the index for
 its whole group, members only with their plus tokens, so a group of any size is about one
-entry a list. The pivot's overlap with another set, computed once, then bounds that of each
-member (by the length of its plus), and where it does not decide, a member's overlap is derived
-from the pivot's by looking up plus and minus alone. Members that are linked through their
+entry a list. The pivot's overlap with another set, computed once, then bounds that of all
+members (by the length of the longest plus). Where it does not decide, the set is held against
+the group's centre, the tokens that most of its sets have: a member's overlap is at most that of
+the centre, less what the member lacks of it, and as many tokens as both have beside it. So
+the set meets the members with which it shares tokens beside the centre, and others only
+where the centre's tokens alone may make a link. Members that are linked through their
 group already are never compared, nor are sets that a first look at a few neighbours in each
 list has brought into one component.
 
@@ -63,7 +66,7 @@ BLOCK = 32
 GROUP = 512
 #: Entries from which on a list's neighbours are looked at first, how many after each, and how many of them are compared with a set.
 CROWD, NEIGHBOURS, FIRST = 4, 2, 3
-#: Members of a group that are tried for a link between two groups before all others are.
+#: A group's sets nearest to its centre that are tried for a link before all others are.
 TRIES = 8
 BATCH_BYTES = 1_000_000
 #: Bits of a set's bitmap.
@@ -489,14 +492,14 @@ COMPARED = "a long, b long, na int, nb int, ov int"
 DELTAS = ", plus binary, at binary, minus binary"
 
 
-def _compare(late):
-    """Overlaps of each group's pairs, which come after its sets; with `late`, of links only, and what b and a differ in."""
+def _compare(late, beyond: bool = False):
+    """Overlaps of each group's pairs, which come after its sets; with `late`, of links only, and what b and a differ in; `beyond`: with what b has and a lacks."""
 
     def run(batches) -> Iterator[dict]:
         key, held = None, {}
         for batch in batches:
             t, ca, cb, a, b, tokens = (batch.column(i).to_pylist() for i in range(6))
-            out = {k: [] for k in ("a", "b", "na", "nb", "ov", "plus", "at", "minus")[: 5 if late is None else 8]}
+            out = {k: [] for k in ("a", "b", "na", "nb", "ov", "plus", "at", "minus")[: 8 if late is not None else 5 + beyond]}
             for here, x, y, raw in zip(zip(t, ca, cb, strict=True), a, b, tokens, strict=True):
                 if here != key:
                     key, held = here, {}
@@ -507,6 +510,8 @@ def _compare(late):
                 at = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
                 common = pivot[at] == own
                 row = [x, y, len(pivot), len(own), int(common.sum())]
+                if beyond:
+                    row.append(own[~common].view(np.int64))
                 if late is not None:
                     if not _links(row[4], row[2], row[3]):
                         continue
@@ -523,36 +528,8 @@ def _compare(late):
     return run
 
 
-def _derive(batches) -> Iterator[dict]:
-    """A set's overlap with members of a group, from its overlap with their pivot (`base`) and what they differ in."""
-    key = own = None
-    for batch in batches:
-        out = {k: [] for k in ("a", "b", "na", "nb", "ov")}
-        for a, salt, lead, b, nb, base, tokens, plus, minus in zip(*(batch.column(i).to_pylist() for i in range(9)), strict=True):
-            if lead:
-                key, own = (a, salt), np.frombuffer(tokens, np.uint64)
-                continue
-            if key != (a, salt):
-                continue
-            ov = base
-            for sign, raw in ((1, plus), (-1, minus)):
-                some = np.frombuffer(raw, np.uint64)
-                ov += sign * int((own[np.minimum(np.searchsorted(own, some), len(own) - 1)] == some).sum())
-            for column, value in zip(out.values(), (a, b, len(own), nb, ov), strict=True):
-                column.append(value)
-        if out["a"]:
-            yield out
-
-
-def _groups(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """pairs (a, b, ...) with a salt that deals each a's to groups of about GROUP, and a lead (a, salt) for each group."""
-    size = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(size, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int")).drop("groups")
-    return dealt, size.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"))
-
-
-def compare(sets: DataFrame, pairs: DataFrame, tables: Tables, late=None) -> DataFrame:
-    """Overlaps of the distinct pairs (a, b) of sets (v, tokens).
+def compare(sets: DataFrame, pairs: DataFrame, tables: Tables, late=None, beyond: bool = False) -> DataFrame:
+    """Overlaps of the distinct pairs (a, b) of sets (v, tokens); `beyond`: with the tokens that b has and a lacks.
 
     Pairs with the same t are compared in one group, to which each of their sets goes once;
     many such pairs are dealt to cells by both their ends, those of one a by the other.
@@ -565,17 +542,7 @@ def compare(sets: DataFrame, pairs: DataFrame, tables: Tables, late=None) -> Dat
     ends = tables.cut(dealt.select("t", "ca", "cb", F.explode(F.array("a", "b")).alias("v")).distinct(), "ends")
     rows = only(sets, ends, ["v"], "inner").select("t", "ca", "cb", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), "tokens").unionByName(dealt.withColumn("tokens", F.lit(None).cast("binary")))
     grouped = rows.repartition("t", "ca", "cb").sortWithinPartitions("t", "ca", "cb", F.col("b").asc_nulls_first())
-    return arrow_map(grouped, _compare(late), COMPARED + (DELTAS if late is not None else ""))
-
-
-def derive(sets: DataFrame, items: DataFrame, tables: Tables) -> DataFrame:
-    """Overlaps of a with b, for items (a, b, nb, base, plus, minus)."""
-    dealt, leads = _groups(items)
-    none = F.lit(None)
-    lead = only(sets.withColumnRenamed("v", "a"), tables.cut(leads, "leads"), ["a"], "inner").select("a", "salt", F.lit(True).alias("lead"), F.col("a").alias("b"), F.lit(0).alias("nb"), F.lit(0).alias("base"), "tokens", none.cast("binary").alias("plus"), none.cast("binary").alias("minus"))
-    rows = lead.unionByName(dealt.select("a", "salt", F.lit(False).alias("lead"), "b", "nb", "base", none.cast("binary").alias("tokens"), "plus", "minus"))
-    grouped = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("lead").desc())
-    return arrow_map(grouped, _derive, COMPARED)
+    return arrow_map(grouped, _compare(late, beyond), COMPARED + (DELTAS if late is not None else ", plus array<long>" if beyond else ""))
 
 
 def components(edges: DataFrame, tables: Tables) -> DataFrame:
@@ -619,32 +586,105 @@ def need_of(a: Column, b: Column) -> Column:
     return F.floor((3 * (a + b) + 6) / 7)
 
 
-def _member_links(open_: DataFrame, members: DataFrame, sets: DataFrame, bits: DataFrame, most: int | None, tables: Tables) -> DataFrame:
-    """Links between members of the groups of open pairs (a, b), `most` of each group at most, those with the longest plus first."""
-    ends = open_.select("a", "b", "ov", "lo_b", "more_b").unionByName(open_.select(F.col("b").alias("a"), F.col("a").alias("b"), "ov", F.col("lo_a").alias("lo_b"), F.col("more_a").alias("more_b")))
-    ends = ends.join(bits.select(F.col("v").alias("b"), F.col("bits").alias("bits_b")), "b")
-    own = members.select(F.col("p").alias("a"), F.col("x").alias("m"), "n", "plus", "minus", (F.length("plus") / 8).cast("int").alias("d"))
-    own = own.join(bits.select(F.col("v").alias("m"), F.col("bits").alias("bits_m")), "m")
-    # a single set (whose size is lo_b) must not differ from the member in more tokens than a link allows
-    differ = F.aggregate(F.zip_with("bits_b", "bits_m", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    may = F.col("ov") + F.col("d") + F.col("more_b") >= need_of(F.col("n"), F.greatest("lo_b", F.ceil(F.col("n") * 0.75)))
-    near = (F.col("more_b") > 0) | (differ <= F.col("n") + F.col("lo_b") - 2 * need_of(F.col("n"), F.col("lo_b")))
-    items = ends.join(own, "a").where(may & near)
+def _moved(batches) -> Iterator[dict]:
+    """A row for each token that a member has and its pivot lacks (gained), or the other way round."""
+    for b in batches:
+        p, *raw = (b.column(i).to_pylist() for i in range(3))
+        for gained, some in zip((True, False), raw, strict=True):
+            token = np.frombuffer(b"".join(some), np.int64)
+            yield {"p": np.repeat(np.array(p, np.int64), [len(x) // 8 for x in some]), "token": token, "gained": np.full(len(token), gained)}
+
+
+def _centred(batches) -> Iterator[dict]:
+    """Tokens that each set of a group has and the group's centre lacks, and how many it lacks of the centre's."""
+    for b in batches:
+        out = {k: [] for k in ("p", "x", "n", "plus", "lost")}
+        for p, x, n, plus, minus, added, removed in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            plus, minus, added, removed = np.frombuffer(plus, np.int64), np.frombuffer(minus, np.int64), np.array(added, np.int64), np.array(removed, np.int64)
+            own = np.concatenate([np.setdiff1d(plus, added), np.setdiff1d(removed, minus)])
+            lost = len(np.setdiff1d(minus, removed)) + len(np.setdiff1d(added, plus))
+            for column, value in zip(out.values(), (p, x, n, own, lost), strict=True):
+                column.append(value)
+        yield out
+
+
+def _centre(batches) -> Iterator[dict]:
+    for b in batches:
+        tokens = []
+        for raw, added, removed in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+            kept = np.setdiff1d(np.frombuffer(raw, np.uint64), np.array(removed, np.int64).view(np.uint64))
+            tokens.append(np.union1d(kept, np.array(added, np.int64).view(np.uint64)).tobytes())
+        yield {"v": b.column(0), "tokens": tokens}
+
+
+def _centre_of(p: Column) -> Column:
+    """The number that a group's centre has among the vertices."""
+    return F.xxhash64(F.lit("centre"), p)
+
+
+def centres(members: DataFrame, groups: DataFrame, sets: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Of each of the groups (p): the centre as a set (v, tokens), and all its sets, the pivot too (p, x, n, plus, lost).
+
+    The centre has the tokens that most of the group's sets have, so what a pivot alone has or lacks
+    is no difference of its members from it.
+    """
+    mine = members.join(groups, "p", "left_semi").select("p", "x", "n", "plus", "minus")
+    most = mine.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    moved = arrow_map(mine.select("p", "plus", "minus"), _moved, "p long, token long, gained boolean").groupBy("p", "gained", "token").agg(F.count(F.lit(1)).alias("n"))
+    moved = moved.join(most, "p").where("2 * n > k + 1").groupBy("p").agg(*(F.collect_list(F.when(which, F.col("token"))).alias(name) for name, which in (("added", F.col("gained")), ("removed", ~F.col("gained")))))
+    none = F.array().cast("array<long>")
+    about = tables.cut(groups.join(moved, "p", "left").select("p", F.coalesce("added", none).alias("added"), F.coalesce("removed", none).alias("removed")), "about")
+    pivots = only(sets.withColumnRenamed("v", "p"), about, ["p"], "inner", 10_000)
+    centre = arrow_map(pivots.select(_centre_of(F.col("p")).alias("v"), "tokens", "added", "removed"), _centre, "v long, tokens binary")
+    nothing = F.lit(b"")
+    sets_ = mine.unionByName(pivots.select("p", F.col("p").alias("x"), (F.length("tokens") / 8).cast("int").alias("n"), nothing.alias("plus"), nothing.alias("minus")))
+    own = only(sets_, about, ["p"], "inner", 10_000).select("p", "x", "n", "plus", "minus", "added", "removed")
+    return tables.cut(centre, "centres"), tables.cut(arrow_map(own, _centred, "p long, x long, n int, plus array<long>, lost int"), "own")
+
+
+def probes_of(open_: DataFrame, members: DataFrame, sets: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """Sets to be held against whole groups, for open pairs (a, b), and the groups' sets as `centres` has them.
+
+    The smaller side of a pair, a single set or each set of a group, goes to the larger: a (the pivot),
+    b (the set), n, nc, ov (sizes of set and centre, their overlap) and what the set has beyond the centre.
+    """
+    size = members.groupBy("p").agg(F.count(F.lit(1)).alias("k"))
+    for end in ("a", "b"):
+        open_ = open_.join(size.select(F.col("p").alias(end), F.col("k").alias(f"k_{end}")), end, "left")
+    k = [F.coalesce(f"k_{end}", F.lit(0)) for end in ("a", "b")]
+    larger = F.when(k[0] >= k[1], F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    sides = tables.cut(open_.select(larger.alias("s"), (F.least(*k) == 0).alias("single")).select("s.a", "s.b", "single"), "sides")
+    centre, own = centres(members, sides.select(F.col("a").alias("p")).distinct(), sets, tables)
+    among = members.select("p", "x").unionByName(members.select("p", F.col("p").alias("x")).distinct())
+    each = sides.where("NOT single").select("a", F.col("b").alias("p")).join(among, "p").select("a", F.col("x").alias("b"))
+    pairs = tables.cut(sides.where("single").select("a", "b").unionByName(each).distinct(), "probes")
+    named = pairs.select(_centre_of(F.col("a")).alias("a"), "b", F.col("a").alias("t"))
+    found = compare(sets.unionByName(centre), named, tables, beyond=True)
+    return tables.cut(found.join(named, ["a", "b"]).select(F.col("t").alias("a"), "b", F.col("nb").alias("n"), F.col("na").alias("nc"), "ov", "plus"), "probes"), own
+
+
+def sharing(probes: DataFrame, own: DataFrame) -> DataFrame:
+    """a, b, t: a group's sets and probes that share tokens which its centre lacks, so many that they may link."""
+    beyond = probes.select(F.col("a").alias("p"), "b", F.col("n").alias("nb"), "ov", F.explode("plus").alias("token"))
+    met = own.select("p", "x", "n", F.explode("plus").alias("token")).join(beyond, ["p", "token"])
+    gain = met.groupBy("p", "x", "b").agg(F.count(F.lit(1)).alias("gain"), F.first("n").alias("n"), F.first("nb").alias("nb"), F.first("ov").alias("ov"))
+    return gain.where(F.col("ov") + F.col("gain") >= _least_link(F.col("n"), F.col("nb"))).select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"), F.col("p").alias("t"))
+
+
+def central(probes: DataFrame, own: DataFrame, most: int | None) -> DataFrame:
+    """a, b, t: probes and a group's sets that may link by the centre's tokens alone, with the `most` sets that lack fewest of these."""
+    first = own.select("p", "x", "n", "lost")
     if most is not None:
-        turn = W.partitionBy("a", "b").orderBy(F.col("d").desc(), "m")
-        items = items.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most)
-    # the set on the other side, whose overlap with the member is derived from that with the member's pivot
-    items = tables.cut(items.select(F.col("b").alias("a"), F.col("m").alias("b"), F.col("n").alias("nb"), F.col("ov").alias("base"), "plus", "minus"), "items")
-    first = tables.cut(derive(sets, items, tables), "derived")
-    linked = first.where(_links(F.col("ov"), F.col("na"), F.col("nb"))).select("a", "b")
-    # members of both groups: from the member's overlap with the other pivot
-    rest = first.where(~_links(F.col("ov"), F.col("na"), F.col("nb"))).select(F.col("a").alias("p"), F.col("b").alias("a"), F.col("nb").alias("na"), "ov")
-    cross = rest.join(members.select("p", F.col("x").alias("b"), F.col("n").alias("nb"), "plus", "minus"), "p")
-    cross = cross.where(F.col("ov") + F.length("plus") / 8 >= need_of(F.col("na"), F.col("nb"))).where("4 * least(na, nb) >= 3 * greatest(na, nb)")
-    cross = cross.withColumn("turn", F.row_number().over(W.partitionBy("p", "a").orderBy(F.length("plus").desc(), "b"))).where(F.col("turn") <= most) if most is not None else cross
-    cross = tables.cut(cross.select("a", "b", "nb", F.col("ov").alias("base"), "plus", "minus").dropDuplicates(["a", "b"]), "cross")
-    second = derive(sets, cross, tables)
-    return tables.cut(linked.unionByName(second.where(_links(F.col("ov"), F.col("na"), F.col("nb"))).select("a", "b")), "member-links")
+        first = first.withColumn("turn", F.row_number().over(W.partitionBy("p").orderBy("lost", "x"))).where(F.col("turn") <= most)
+    # of what the set lacks of the centre, the probe has all but nc - ov tokens
+    common = F.col("ov") - F.greatest(F.lit(0), F.col("lost") - (F.col("nc") - F.col("ov")))
+    met = first.join(probes.select(F.col("a").alias("p"), "b", F.col("n").alias("nb"), "nc", "ov"), "p").where(common >= _least_link(F.col("n"), F.col("nb")))
+    return met.select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b"), F.col("p").alias("t"))
+
+
+def _least_link(a: Column, b: Column) -> Column:
+    """Overlap of a link between sets of these sizes; more than either has where the sizes rule it out."""
+    return F.when(4 * F.least(a, b) >= 3 * F.greatest(a, b), need_of(a, b)).otherwise(F.lit(_BIG))
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -717,14 +757,20 @@ def _classes(docs: DataFrame) -> DataFrame:
         one, two = labels.select(F.col("v").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("v").alias("b"), F.col("comp").alias("cb"))
         return tables.cut(pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb"), "open")
 
-    # pairs that other links have joined need no look at members; most of the others are joined by one of a few, all of the rest's are looked at
+    # pairs that other links have joined need no look at members; of the others, those that share more than the centre's tokens
+    # are compared, and by the centre's alone a few sets that have most of them, which join most; all of the rest's come last
     open_ = apart(_open(first.unionByName(rest), groups))
-    for most in (TRIES, None):
-        if not open_.limit(1).count():
-            break
-        edges = edges.unionByName(_member_links(open_, members, sets, vertices.select("v", "bits"), most, tables))
-        labels = components(edges, tables)
-        open_ = apart(open_)
+    if open_.limit(1).count():
+        probes, own = probes_of(open_, members, sets, tables)
+        for some in (central(probes, own, TRIES).unionByName(sharing(probes, own)), None):
+            if some is None:
+                probes = apart(probes)
+                some = central(probes, own, None)
+            some = tables.cut(some.groupBy("a", "b").agg(F.min("t").alias("t")), "pairs")
+            if not some.limit(1).count():
+                continue
+            edges = edges.unionByName(tables.cut(compare(sets, some, tables), "compared").where(linked).select("a", "b"))
+            labels = components(edges, tables)
     out = cut(about.join(labels, "v", "left").select("doc_id", "row", "key", "n", F.coalesce("comp", "v").alias("comp")), "classes")
     tables.clear()
     return out

@@ -131,3 +131,33 @@ def test_tokens_are_counted_in_all_documents(spark, monkeypatch):
         assert shards == {low["often o1 o2 o3 o4"]: -(-many // 4)}
         e = J._dealt(shards, np.array([token["often o1 o2 o3 o4"], token["s0 s1 s2 s3 s4"]], np.int64), g=np.array([7, 7]))
         assert len(e["token"]) == -(-many // 4) + 1
+
+
+def test_sets_just_below_the_threshold_do_not_meet_every_member(spark, monkeypatch):
+    """150 near copies and 60 texts one shingle short of a link to them: the pairs looked at stay far from 150 * 60, and the classes are those of all pairs."""
+    base = [f"w{i}" for i in range(150)]
+    rng = random.Random(4)
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[0 if i % 2 else -1] = f"m{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(60):
+        # four words apart from each other and the third: 20 shingles and 3, or 20 and 1
+        words = list(base)
+        for at in [2 if i % 10 == 9 else 0] + [rng.randrange(8 + 35 * k, 35 + 35 * k) for k in range(4)]:
+            words[at] = f"far{i}x{at}"
+        rows.append((150 + i, " ".join(words)))
+    made = []
+    plain = J.Tables.cut
+
+    def counted(self, df, name):
+        out = plain(self, df, name)
+        if name in ("items", "cross", "pairs"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(J.Tables, "cut", counted)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in J.similarity_classes(d).collect()} == brute(rows)
+    assert sum(made) <= (J.TRIES + 2) * 60, made
