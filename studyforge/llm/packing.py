@@ -43,7 +43,8 @@ def _encoder(path: str, end_id: int):
 
     A single space between two non-space characters always starts a new pre-token together
     with what follows it, so the pieces of a text cut there encode alike in any text; and so
-    do a letter and the commas and stops after it, at the end of a piece. Texts with other
+    do letters, the marks after them and a line break between two such runs. Letters are pre-tokens
+    as they are, so the tokenizer's model gets them without its pre-tokenizer. Texts with other
     white-space runs beside a space, or with a special token's text, are encoded whole.
     """
     if (path, end_id) not in _ENCODERS:
@@ -57,57 +58,99 @@ def _make_encoder(path: str, end_id: int):
     from array import array
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    from .byte_bpe import spell
 
     tok = Tokenizer.from_file(path)
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     kind = "H" if _ids_are_short(path, end_id) else "I"
     end = array(kind, [end_id]).tobytes()
-    odd = re.compile(r" \s|\s ")
+    odd = re.compile(r" \s|\s ").search
+    # white space other than the space and the line break
+    rare = re.compile(r"[^\S \n]").search
+    # letters, then marks that are no apostrophe: two pre-tokens of a byte-level tokenizer
+    letters = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
+    signs = ".,;:!?$%&*#"
+    plain = tok.normalizer is None and isinstance(tok.pre_tokenizer, pre_tokenizers.ByteLevel) and tok.pre_tokenizer.use_regex and not tok.pre_tokenizer.add_prefix_space
+    bare = Tokenizer(tok.model)
     cache: dict[str, bytes] = {}
     held = 0
 
-    def encode(parts: list[str]) -> list[bytes]:
-        return [array(kind, e.ids).tobytes() for e in tok.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode(parts: list[str], by=tok) -> list[bytes]:
+        return [array(kind, e.ids).tobytes() for e in by.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def learn(words: set[str]) -> None:
-        """Put words into the cache; a word's final commas and stops are encoded apart."""
-        whole, split = [], []
+    def learn(words: set[str]) -> list[str]:
+        """Put words into the cache, the letters and marks of a word apart; gives those that are not worth keeping."""
+        nonlocal held
+        # strings alone are held here: many small tuples would keep the garbage collector busy
+        whole, marked, broken, stems, tails = [], [], [], set(), {"\n"}
         for w in words:
-            stem = w.rstrip(".,")
-            if len(stem) < len(w) and stem[-1:].isalpha():
-                split.append((w, stem, w[len(stem) :]))
-            else:
+            if "\n" in w:
+                lines = w[w[0] == " " :].split("\n")
+                if not plain or not all(letters(x.rstrip(signs)) for x in lines):
+                    whole.append(w)
+                    continue
+                broken.append(w)
+                # only the first letters follow a space, unless they begin the text
+                stems.add((" " if w[0] == " " else "") + lines[0].rstrip(signs))
+                stems.update([" " + x.rstrip(signs) for x in lines[1:]])
+                tails.update([x[len(x.rstrip(signs)) :] for x in lines])
+                continue
+            stem = w.rstrip(signs)
+            if not plain or not letters(stem, stem[:1] == " "):
                 whole.append(w)
-        whole += {x for _, stem, _ in split for x in (stem,) if x not in cache and x not in words}
+                continue
+            stems.add(stem)
+            if len(stem) < len(w):
+                marked.append(w)
+                tails.add(w[len(stem) :])
         cache.update(zip(whole, encode([w[1:] if w[0] == " " else " " + w for w in whole]), strict=True))
-        tails = {t for _, _, t in split}
-        tails = dict(zip(tails, encode(list(tails)), strict=True))
-        for w, stem, tail in split:
-            cache[w] = cache[stem] + tails[tail]
+        fresh = [x for x in stems if x not in cache]
+        spelt = [("\u0120" + x if x.isascii() else "\u0120" + spell(x.encode())) if x[0] != " " else spell(x[1:].encode()) for x in fresh]
+        cache.update(zip(fresh, encode(spelt, bare), strict=True))
+        tails = list(tails)
+        marks = dict(zip(tails, encode(tails), strict=True))
+        for w in marked:
+            stem = w.rstrip(signs)
+            cache[w] = cache[stem] + marks[w[len(stem) :]]
+        for w in broken:
+            first, *rest = w[w[0] == " " :].split("\n")
+            stem = first.rstrip(signs)
+            ids = cache[" " + stem if w[0] == " " else stem] + marks[first[len(stem) :]]
+            for x in rest:
+                stem = x.rstrip(signs)
+                ids += marks["\n"] + cache[" " + stem] + marks[x[len(stem) :]]
+            cache[w] = ids
+        held += sum(map(len, whole)) + sum(map(len, fresh)) + sum(map(len, marked))
+        return broken
 
     def run(texts: list[str]) -> list[bytes]:
         nonlocal held
         if len(cache) > WORDS_KEPT or held > CHARS_KEPT:
             cache.clear()
             held = 0
-        cuts, missing = [], set()
+        pieces, ends = [], []
         for text in texts:
-            if text and text[0] != " " and text[-1] != " " and odd.search(text) is None and not any(s in text for s in specials):
-                pieces = text.split(" ")
+            if text and text[0] != " " and text[-1] != " " and "  " not in text and " \n" not in text and "\n " not in text and (rare(text) is None or odd(text) is None) and not any(s in text for s in specials):
+                first = len(pieces)
+                pieces += text.split(" ")
                 # the first piece has no space before it: its key starts with one, which no other piece does
-                pieces[0] = " " + pieces[0]
-                cuts.append(pieces)
-                missing.update(pieces)
+                pieces[first] = " " + pieces[first]
+                ends.append((first, len(pieces)))
             else:
-                cuts.append(None)
-        missing = {w for w in missing if w not in cache}
-        if missing:
-            held += sum(map(len, missing))
-            learn(missing)
-        whole = [t for t, p in zip(texts, cuts, strict=True) if p is None]
+                ends.append(None)
+        ids = list(map(cache.get, pieces))
+        holes = [i for i, x in enumerate(ids) if x is None]
+        if holes:
+            passing = learn({pieces[i] for i in holes})
+            for i in holes:
+                ids[i] = cache[pieces[i]]
+            for w in passing:
+                del cache[w]
+        whole = [t for t, e in zip(texts, ends, strict=True) if e is None]
         coded = iter(encode(whole)) if whole else iter(())
-        return [(next(coded) if p is None else b"".join([cache[w] for w in p])) + end for p in cuts]
+        return [(next(coded) if e is None else b"".join(ids[e[0] : e[1]])) + end for e in ends]
 
     return run
 

@@ -74,3 +74,36 @@ def test_windows_hold_the_mixture(spark):
     full = got.groupby("sequence_id").length.sum() == 512
     per = got[got.source == "big"].groupby("sequence_id").length.sum()[full]
     assert (abs(per / 512 - share) < 0.02).all()
+
+
+def test_letters_are_encoded_once_whatever_marks_and_line_breaks_follow(monkeypatch):
+    """200 words before and after line breaks, each pair other, and with marks: the tokenizer gets each word once with and once without a space; ids are those of whole texts."""
+    import tokenizers
+
+    from studyforge.llm import packing
+    from studyforge.llm.common import tokenizer_path
+
+    plain, given = tokenizers.Tokenizer, []
+
+    class Counting:
+        def __init__(self, tok):
+            self.tok = tok
+
+        from_file = staticmethod(lambda path: Counting(plain.from_file(path)))
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def encode_batch_fast(self, parts, **options):
+            given.extend(parts)
+            return self.tok.encode_batch_fast(parts, **options)
+
+    tok = plain.from_file(tokenizer_path())
+    monkeypatch.setattr(tokenizers, "Tokenizer", lambda model: Counting(plain(model)))
+    tokenizers.Tokenizer.from_file = Counting.from_file
+    names = ["é" * (i % 3) + "".join(chr(97 + int(d)) for d in str(1000 + i)) for i in range(200)]
+    texts = [" ".join(f"{a}{m}\n{names[(i * 7 + k) % 200]}{m}" for i, a in enumerate(names)) for k, m in enumerate((".", ",", "!!", "$$$", "", ".%%%"))]
+    odd = ["a'll\nb", "x.\n\ny", "l'été.\nÉté 's", "ǆ\nz", "a\tb c", "²x\n3", ""]
+    ids = packing._make_encoder(tokenizer_path(), 1)(texts + odd)
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [[*e.ids, 1] for e in tok.encode_batch_fast(texts + odd, add_special_tokens=False)]
+    assert len(given) <= 2 * len(names) + 40, len(given)
