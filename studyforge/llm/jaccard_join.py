@@ -71,6 +71,8 @@ TRIES = 8
 BATCH_BYTES = 1_000_000
 #: Bits of a set's bitmap.
 BITS = 512
+#: Bitmaps that are broadcast at most; the driver holds several copies of what is broadcast.
+BITMAPS = 50_000
 BATCH_ROWS = 1_500
 _CELLS = 1 << 12
 _BIG = (1 << 31) - 1
@@ -744,7 +746,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     edges = edges.unionByName(first.where(linked).select("a", "b"))
     labels = components(edges, tables)
     lists = index.join(labels.withColumnRenamed("v", "g"), "g", "left").select(*index.columns, F.coalesce("comp", "g").alias("comp"))
-    lists = only(lists, vertices.select(F.col("v").alias("g"), "bits"), ["g"], "left", 300_000).select(*index.columns, "comp", "bits")
+    lists = only(lists, vertices.select(F.col("v").alias("g"), "bits"), ["g"], "left", BITMAPS).select(*index.columns, "comp", "bits")
     found = arrow_map(lists.repartition("token", "cell").sortWithinPartitions("token", "cell"), _pairs, PAIRS)
     # all common tokens up to the last of these rows have one, so what follows it bounds the overlap
     pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("rest").alias("rest"), F.min("need").alias("need"), F.min("t").alias("t"))
@@ -773,6 +775,7 @@ def _classes(docs: DataFrame) -> DataFrame:
             labels = components(edges, tables)
     out = cut(about.join(labels, "v", "left").select("doc_id", "row", "key", "n", F.coalesce("comp", "v").alias("comp")), "classes")
     tables.clear()
+    late.destroy()
     return out
 
 

@@ -161,3 +161,21 @@ def test_sets_just_below_the_threshold_do_not_meet_every_member(spark, monkeypat
     d = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r["doc_id"]: r["component_id"] for r in J.similarity_classes(d).collect()} == brute(rows)
     assert sum(made) <= (J.TRIES + 2) * 60, made
+
+
+def test_many_bitmaps_are_shuffled_and_give_the_same_classes(spark, monkeypatch):
+    """Bitmaps beyond BITMAPS rows go to their entries by a shuffle."""
+    sent = []
+    plain = J.only
+
+    def watched(df, rows, on, how="left_semi", most=1_000_000):
+        if "bits" in rows.columns:
+            sent.append(most)
+        return plain(df, rows, on, how, most)
+
+    monkeypatch.setattr(J, "only", watched)
+    monkeypatch.setattr(J, "BITMAPS", 10)
+    rows = families(7, 2, 10)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in J.similarity_classes(d).collect()} == brute(rows)
+    assert sent == [10]
