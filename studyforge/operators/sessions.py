@@ -56,6 +56,11 @@ def truthy(v: Column) -> Column:
     return v.isNotNull() & F.when(_is(v, "VOID"), False).otherwise(F.coalesce(plain, F.lit(True)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is sorted and merged: a document's entries are many times what Spark takes them for, and the driver holds a side that is broadcast."""
+    return df.hint("merge")
+
+
 def _heads(docs: DataFrame, version: int) -> DataFrame:
     """session, doc, ids of documents whose own fields are right."""
     # each document is parsed once: nothing is moved below an explode, while a filter on a plain column would repeat the parse
@@ -70,7 +75,7 @@ def _members(heads: DataFrame, bank: DataFrame) -> DataFrame:
     listed = heads.select("session", F.explode(F.array_distinct("ids")).alias("question"))
     known = bank.select("question", F.col("type"), F.col("n_options"), F.lit(True).alias("found"))
     all_found = F.every(F.col("found").isNotNull()).over(W.partitionBy("session"))
-    return listed.join(known, "question", "left").withColumn("whole", all_found).where("whole").drop("whole", "found")
+    return listed.join(spread(known), "question", "left").withColumn("whole", all_found).where("whole").drop("whole", "found")
 
 
 def restore_sessions(docs: DataFrame, bank: DataFrame, version: int = 1, title: str = "") -> DataFrame:
@@ -95,7 +100,7 @@ def restore_sessions(docs: DataFrame, bank: DataFrame, version: int = 1, title:
     )
     # written, since they are read for the listed ids and again for the result
     fields = stored(fields, "sessions")
-    return fields.join(_members(fields, bank).select("session").distinct(), "session", "left_semi")
+    return fields.join(spread(_members(fields, bank).select("session").distinct()), "session", "left_semi")
 
 
 def _picked_ok(v: Column) -> Column:
@@ -125,7 +130,7 @@ def session_entries(docs: DataFrame, bank: DataFrame, version: int = 1) -> DataF
     members = _members(heads, bank)
     parts = [F.struct(F.lit(p).alias("part"), _get(F.col("doc"), path, "map<string,variant>").alias("entries")) for p, path in PARTS.items()]
     rows = heads.select("session", F.explode(F.array(*parts)).alias("p")).select("session", "p.part", F.explode("p.entries").alias("question", "v"))
-    j = rows.join(members, ["session", "question"])
+    j = rows.join(spread(members), ["session", "question"])
     v, part = F.col("v"), F.col("part")
     picked = F.when(part == "result", _get(v, "$.picked")).otherwise(v)
     ok, own, ts = _get(v, "$.ok"), _get(v, "$.self"), _get(v, "$.ts", "string")

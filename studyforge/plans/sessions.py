@@ -29,7 +29,7 @@ def _documents(spark, sf):
     one = B.table(spark, sf, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.max("l_returnflag").alias("flag"), F.min("l_linenumber").alias("line"))
     entry = F.struct("line", F.concat(F.lit("q"), "l_partkey").alias("q"), F.expr(ANSWER).alias("a"))
     items = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(entry)).alias("items"))
-    return B.table(spark, sf, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("session"), F.expr(DOC).alias("json"))
+    return B.table(spark, sf, "orders").join(S.spread(items), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_orderkey").alias("session"), F.expr(DOC).alias("json"))
 
 
 @register(

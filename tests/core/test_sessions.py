@@ -53,3 +53,13 @@ def test_documents_are_parsed_once(spark):
     heads = sessions._heads(docs, 1)
     assert [r["session"] for r in heads.select("session").collect()] == [1]
     assert heads._jdf.queryExecution().optimizedPlan().toString().count("parseJson") + heads._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+
+
+def test_no_side_of_a_join_is_broadcast(spark):
+    """Sessions, their entries and the bank grow with the input, so the driver holds none of them, however small they seem."""
+    from studyforge.plans import catalog
+
+    ends = [S.session_entries(*frames(spark, ALL)), S.restore_sessions(*frames(spark, ALL)), *[catalog.QUERIES[q](spark, "/root/testdata/sf0.001") for q in ("session_entries", "restored_sessions")]]
+    for df in ends:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
