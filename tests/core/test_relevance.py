@@ -1,9 +1,12 @@
 """Relevance measures, re-selection, verdicts and contrasts on Chinese text, by hand-worked cases."""
 
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
-from studyforge.functions import spans
+from studyforge.functions import predicates, spans
 from studyforge.operators import contrast, relevance
 from studyforge.operators import index as I
 
@@ -62,3 +65,21 @@ def test_verdicts(spark):
     got = {r["question"]: r["verdict"] for r in relevance.verdicts(spark.createDataFrame(rows, "question long, kind string, stem string, options array<string>, letters array<string>"), index, F.col("chapter") == "国防").collect()}
     # a short option needs a word's borders, which Han characters are
     assert got == {1: "consistent", 2: "suspect_answer", 3: "suspect_answer", 4: "no_corpus_evidence"}
+
+
+def test_exercises_are_those_of_the_plain_pattern_and_found_by_their_marks(spark):
+    """A text without marks is read once, not once more for each run of 4 to 30 characters from each of its places."""
+    plain = F.col("t").rlike(r"([^。？?]{4,30}[?？]){2,}|[?？]\s*$")
+    rng = random.Random(3)
+    odd = [("".join(rng.choice(rng.choice(["ab", "ab中?", "?？ 。a", "a\n ?", "a😀?b"])) for _ in range(rng.randrange(60))),) for _ in range(20_000)]
+    got = spark.createDataFrame(odd, "t string").groupBy(plain.alias("a"), predicates.exercise(F.col("t")).alias("b")).count().collect()
+    assert {(r["a"], r["b"]) for r in got} == {(True, True), (False, False)}
+    texts = spark.range(4_000, numPartitions=4).select(F.concat(F.col("id").cast("string"), F.repeat(F.lit("word and "), 25)).alias("t")).localCheckpoint()
+
+    def seconds(test):
+        began = time.perf_counter()
+        assert texts.where(test).count() == 0
+        return time.perf_counter() - began
+
+    seconds(predicates.exercise(F.col("t")))
+    assert seconds(predicates.exercise(F.col("t"))) * 2 < seconds(plain)
