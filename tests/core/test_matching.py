@@ -155,3 +155,41 @@ def test_a_step_does_not_walk_all_occurrences_of_a_term_that_cannot_overlap(monk
             assert n == (head + piece).count(term)
             left = (head + piece).split(term)[-1]
             assert rest == max(k for k in range(len(term)) if left.endswith(term[:k]))
+
+
+def test_pairs_take_their_units_text_along(spark, monkeypatch):
+    """Whatever a batch holds, each pair has its own unit's columns, those it was matched on too, and no join of pairs with units stands in the plan."""
+    rng = random.Random(12)
+    rows = [(u * 7, rng.choice("xy"), f"text {u}", rng.sample("abcdef", rng.randrange(6))) for u in range(300)] + [(9_001, None, None, ["a", "b"]), (9_002, "x", "none", None)]
+    units = spark.createDataFrame(rows, "unit long, chapter string, sentence string, grams array<string>")
+    wants = [(k, g, c, 1.0 + k, 2.0 * (1 + k)) for k in range(4) for g in "abz" for c in "xy"]
+    df = spark.createDataFrame(wants, "key long, gram string, chapter string, weight double, least double")
+    told = {(k, u, c, s) for u, c, s, gs in rows for k in range(4) if c is not None and {"a", "b"} <= set(gs or [])}
+    free = {(k, u, c, s) for u, c, s, gs in rows for k in range(4) if {"a", "b"} <= set(gs or [])}
+    plain = df.where("chapter = 'x'").drop("chapter")
+    for few in (1_000_000, 1):
+        monkeypatch.setattr(M, "FEW", few)
+        for size in ("3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            a = M.summed(units, df, ("gram", "chapter"), along=("chapter", "sentence"))
+            b = M.summed(units, plain, along=("sentence", "chapter"))
+            assert sorted(tuple(r) for r in a.select("key", "unit", "chapter", "sentence").collect()) == sorted(told)
+            assert sorted(map(repr, (tuple(r) for r in b.select("key", "unit", "chapter", "sentence").collect()))) == sorted(map(repr, free))
+            assert few == 1 or "unit" not in "".join(x for x in _plan(a).splitlines() if "Join" in x)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(M, "FEW", 1_000_000)
+    assert M.summed(units, plain.where("key > 9"), along=("chapter", "sentence")).collect() == []
+
+
+def test_broadcast_pairs_are_bounded_whatever_the_units_number(spark, rows, monkeypatch):
+    """Searches send no pairs to units' texts; other joins of pairs broadcast SLICES * PAIRS of them at most."""
+    joined = []
+    monkeypatch.setattr(I, "beside", lambda *a: joined.append(a) or M.beside(*a))
+    index = I.Index(spark.createDataFrame([(u, "c", f"war army {u % 5} peace") for u in range(40)], "unit long, chapter string, sentence string"))
+    texts = spark.createDataFrame([(1, "army war", "army war", "c", 0.2), (2, "peace war army", "peace", "d", 0.5)], "key long, stem string, text string, chapter string, least double")
+    found = index.supporting(texts).collect() + index.related(texts.select("key", "stem", "chapter", "least")).collect()
+    assert found and index.top(texts.select("key", "text"), 3, slack=0.0).count() == 6 and not joined
+    monkeypatch.setattr(M, "PAIRS", 2)
+    pairs = spark.createDataFrame([(k, k) for k in range(2 * M.SLICES + 1)], "key long, unit long")
+    plan = M.beside(pairs, rows[0])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
