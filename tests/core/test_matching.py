@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,23 @@ def test_broadcast_pairs_are_bounded_whatever_the_units_number(spark, rows, monk
     pairs = spark.createDataFrame([(k, k) for k in range(2 * M.SLICES + 1)], "key long, unit long")
     plan = M.beside(pairs, rows[0])._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("held", [50, 200])
+def test_pairs_below_a_full_list_are_dropped_as_they_come(monkeypatch, held):
+    """A task sorts few of its pairs again once its lists are full, and keeps the best of each key, ties by unit."""
+    monkeypatch.setattr(M, "HELD", held)
+    rng, seen, batches, want = random.Random(5), [], [], {}
+    for b in range(100):
+        rows = [(u, no, rng.choice([0.1, 0.2, 0.3, 0.4]), 0.0) for u in range(b * 10, b * 10 + 10) for no in rng.sample(range(7), 4) if no < 6 or b > 90]
+        for u, no, w, _ in rows:
+            want.setdefault(no, []).append((-w, u))
+        batches.append(pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["unit", "no", "weight", "least"]))
+    plain = M._best
+    monkeypatch.setattr(M, "_best", lambda *a: seen.append(len(a[0])) or plain(*a))
+    got = {}
+    for b in M._run(batches, 5, 0.0):
+        for u, no, have in zip(*[c.to_pylist() for c in b.columns]):
+            got.setdefault(no, []).append((-have, u))
+    assert got.keys() == want.keys() and all(sorted(got[no])[:5] == sorted(want[no])[:5] for no in want)
+    assert sum(seen) < sum(b.num_rows for b in batches)
